@@ -12,8 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
-import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import share_file, texts_of
 from .pieces import PieceCache, byte_level_pieces, text_blocks
 
 #: Words that the lexicon holds.
@@ -292,12 +291,8 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON, text_col: str
     vocabulary = Vocabulary(path)
     frequent = word_counts(docs, text_col).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most)
     blob = Transducer.compile({bytes(r.word): vocabulary.merge(bytes(r.word)) for r in frequent.collect()})
-    name = f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        file = os.path.join(os.path.realpath(folder), name)
-        with open(file, "wb") as f:
-            f.write(blob)
-        docs.sparkSession.sparkContext.addFile(file)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    share_file(docs.sparkSession, blob, name)
     return name
 
 

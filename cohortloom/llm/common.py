@@ -70,6 +70,22 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def share_file(spark: SparkSession, data: bytes, name: str) -> None:
+    """Write a small file into the shared folder and have every executor fetch it once.
+
+    Tasks find it at ``SparkFiles.get(name)``; an executor that starts later fetches it too.
+    """
+    path = new_path(spark, "files")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    spark.sparkContext.addFile(at.toString())
+
+
 def release(df: DataFrame) -> None:
     """Delete a stored table that nothing reads any more."""
     if path := getattr(df, _PATH, None):
