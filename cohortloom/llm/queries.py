@@ -14,6 +14,7 @@ from .exact_dedup import exact_duplicates
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .warc import archive_pages
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record is read back from the normalised archives."""
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -74,5 +81,17 @@ WITH n AS (
 SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
 FROM n
+""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), k AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS keep FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST(('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5)) AS INT) >> CAST(5 * (3 - i % 4) AS INT)) & 31) AS INT), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM k
 """,
 }
