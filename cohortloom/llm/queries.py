@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, langid, toxicity
+from . import bpe, embed_dedup, langid, pii, toxicity
 from .common import table
 from .exact_dedup import exact_duplicates
 from .packing import pack_documents
@@ -29,6 +29,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, langid.train(docs))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and places, by patterns and in all."""
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    of_kind = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.PATTERNS))
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(pii.PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document; the row with the largest id stays."""
     found = exact_duplicates(table(spark, sf_dir, "documents"))
@@ -69,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
