@@ -15,6 +15,7 @@ import json
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import share_file, texts_of
-from .pieces import PieceCache, byte_level_pieces, text_blocks
+from .pieces import PieceCache, byte_level_pieces, once_per_worker, text_blocks
 
 #: Words that the lexicon holds.
 LEXICON = 100_000
@@ -32,6 +33,8 @@ LEXICON = 100_000
 COUNTED = 200_000
 #: Characters of text that are cut and looked up at a time.
 BLOCK_CHARS = 1 << 22
+#: Pieces that a Python worker remembers with their ids and bytes.
+REMEMBERED = 600_000
 #: Symbols up to which a word is merged by scanning, beyond it with a heap.
 SCAN = 48
 #: The pattern that byte-level BPE vocabularies of this kind are split by.
@@ -308,8 +311,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
-        encoder = Encoder(vocabulary, Transducer.open(SparkFiles.get(name)))
+        vocabulary = once_per_worker(("vocabulary", path), lambda: Vocabulary(path))
+        encoder = Encoder(vocabulary, once_per_worker(("lexicon", name), lambda: Transducer.open(SparkFiles.get(name))))
         special = {t: (str(i), vocabulary.bytes_of[i]) for t, i in vocabulary.special.items()}
 
         def values(prefix: str):
@@ -318,7 +321,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
             return of
 
-        first, later = PieceCache(values(""), 30_000), PieceCache(values(" "), 250_000)
+        first = once_per_worker(("first ids", path, name), lambda: PieceCache(values(""), 50_000))
+        later = once_per_worker(("ids", path, name), lambda: PieceCache(values(" "), REMEMBERED))
         for batch in batches:
             texts = texts_of(batch, "text")
             counts: list[int] = []
@@ -326,16 +330,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             decoded_sha: list[str] = []
             for a, b in text_blocks(texts, BLOCK_CHARS):
                 cut = [[(None, t) if s else (byte_level_pieces(t), t) for t, s in encoder.segments(text)] for text in texts[a:b]]
-                heads = first.fill([p[0] for segs in cut for p, _ in segs if p])
-                tails = later.fill([w for segs in cut for p, _ in segs if p for w in p[1:]])
+                first.fill([p[0] for segs in cut for p, _ in segs if p])
+                later.fill([w for segs in cut for p, _ in segs if p for w in p[1:]])
                 for segs in cut:
                     found: list[tuple[str, bytes]] = []
                     for p, t in segs:
                         if p is None:
                             found.append(special[t])
                         else:
-                            found.append(heads[p[0]])
-                            found += map(tails.__getitem__, p[1:])
+                            found.append(first[p[0]])
+                            found += map(later.__getitem__, islice(p, 1, None))
                     ids = ",".join([x for x, _ in found])
                     text = b"".join([x for _, x in found]).decode("utf-8", "replace")
                     counts.append(ids.count(",") + 1 if ids else 0)

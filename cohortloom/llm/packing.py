@@ -10,7 +10,9 @@ pieces there are. Packing moves only metadata: ids stay where they were made.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,16 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, texts_of
-from .pieces import PieceCache, text_blocks
+from .pieces import PieceCache, once_per_worker
 from .token_counts import load_tokenizer
 
 #: Pieces that are packed together; more pieces make more groups, each packed apart.
 GROUP = 60_000
-#: Bytes in one call of the encoder, and characters of text looked up at a time.
-BATCH_WORDS = 20_000
-BLOCK_CHARS = 1 << 22
 #: White space of ASCII that the word tokenizer drops; other white space stays in words.
-_SPACES = str.maketrans("\t\n\r\x0b\x0c", "     ")
+_SPACES = re.compile("[\t-\r ]+")
 
 
 @dataclass(frozen=True)
@@ -83,15 +82,10 @@ def vector_bin_pack(demand: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarra
 
 
 def word_ids(tokenizer):
-    """A function from words without ASCII white space to their ids as little-endian bytes."""
+    """A function from words without ASCII white space to their ids as bytes, four each."""
 
-    def encode(words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(words), BATCH_WORDS):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(words[i : i + BATCH_WORDS], add_special_tokens=False)]
-        return out
-
-    return encode
+    encode = tokenizer.encode
+    return lambda words: [array("I", encode(w, add_special_tokens=False).ids).tobytes() for w in words]
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,17 +98,14 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PieceCache(word_ids(load_tokenizer(path)))
+        ids_of = once_per_worker(("ids", path), lambda: PieceCache(word_ids(load_tokenizer(path))))
         step = 4 * length
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
             rows: list[tuple] = []
-            for a, b in text_blocks(texts, BLOCK_CHARS):
-                words = [t.translate(_SPACES).split(" ") for t in texts[a:b]]
-                found = cache.fill([w for ws in words for w in ws])
-                for doc_id, ws in zip(ids[a:b], words):
-                    data = b"".join(map(found.__getitem__, ws)) + end
-                    rows += [(doc_id, i // 4, len(data[i : i + step]) // 4, zlib.crc32(data[i : i + step]), len(data) // 4) for i in range(0, len(data), step)]
+            for doc_id, text in zip(ids, texts):
+                data = b"".join(map(ids_of.__getitem__, _SPACES.split(text))) + end
+                rows += [(doc_id, i // 4, len(data[i : i + step]) // 4, zlib.crc32(data[i : i + step]), len(data) // 4) for i in range(0, len(data), step)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))

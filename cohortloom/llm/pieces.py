@@ -14,9 +14,18 @@ from collections.abc import Callable, Iterator
 #: Before a single space between two characters that are not white space.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces that a task remembers, and the characters up to which a piece is remembered.
-CACHE = 400_000
+#: Pieces that a Python worker remembers, and the characters up to which it does.
+CACHE = 1_000_000
 SHORT = 48
+#: What a worker has made so far, by key: it serves many tasks.
+_made: dict[tuple, object] = {}
+
+
+def once_per_worker(key: tuple, make: Callable[[], object]):
+    """What ``make`` returns, made once in a Python worker and kept for its later tasks."""
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -25,38 +34,37 @@ def byte_level_pieces(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """Values of short pieces, filled in batches; emptied when it holds ``most``."""
-
-    def __init__(self, values: Callable[[list[str]], list], most: int = CACHE) -> None:
-        super().__init__()
-        self.values_of, self.most = values, most
-
-    def fill(self, pieces: list[str]) -> dict:
-        """The cache, with every piece of ``pieces``; long ones in a dictionary beside it."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
-        if not new:
-            return self
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(dict.fromkeys(pieces))
-        found = zip(new, self.values_of(new))
-        if max(map(len, new)) <= SHORT and len(new) <= self.most:
-            self.update(found)
-            return self
-        here = dict(found)
-        self.update((p, v) for p, v in here.items() if len(p) <= SHORT and len(self) < self.most)
-        return _Both(here, self)
-
+    """Values of short pieces in two generations: a full young one becomes the old one.
 
-class _Both(dict):
-    """A dictionary that falls back on another."""
+    Reading a piece that neither holds computes it; a piece of the old generation moves to
+    the young one, so frequent pieces stay however many rare ones pass. Long pieces are
+    computed each time.
+    """
 
-    def __init__(self, first: dict, second: dict) -> None:
-        super().__init__(first)
-        self.second = second
+    def __init__(self, values_of: Callable[[list[str]], list], most: int = CACHE) -> None:
+        super().__init__()
+        self.values_of, self.half, self.old = values_of, max(1, most // 2), {}
 
-    def __missing__(self, key: str):
-        return self.second[key]
+    def keep(self, piece: str, value: object) -> None:
+        """Remember one value."""
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+
+    def __missing__(self, piece: str):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.values_of([piece])[0]
+        if len(piece) <= SHORT:
+            self.keep(piece, value)
+        return value
+
+    def fill(self, pieces: list[str]) -> None:
+        """Compute the short pieces that are not remembered in one call."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self and p not in self.old and len(p) <= SHORT]
+        for p, value in zip(new, self.values_of(new)):
+            self.keep(p, value)
 
 
 def text_blocks(texts: list[str], most_chars: int) -> Iterator[tuple[int, int]]:

@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spans_by_bytes, texts_of
-from .pieces import PieceCache, byte_level_pieces, text_blocks
+from .pieces import PieceCache, byte_level_pieces, once_per_worker, text_blocks
 
 #: Bytes in one call of the encoder, and characters of text looked up at a time.
 BATCH_BYTES = 1 << 18
@@ -82,19 +83,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(path)
+        tokenizer = once_per_worker(("tokenizer", path), lambda: load_tokenizer(path))
         # A later piece is looked up with its leading space, the first one as it stands.
-        first = PieceCache(lambda new: encode_lengths(tokenizer, new), 50_000)
-        later = PieceCache(lambda new: encode_lengths(tokenizer, [_SPACE + p for p in new]))
+        first = once_per_worker(("first lengths", path), lambda: PieceCache(lambda new: encode_lengths(tokenizer, new), 50_000))
+        later = once_per_worker(("lengths", path), lambda: PieceCache(lambda new: encode_lengths(tokenizer, [_SPACE + p for p in new])))
         for batch in batches:
             texts = texts_of(batch, "text")
             if safe:
                 n_tokens: list[int] = []
                 for a, b in text_blocks(texts, BLOCK_CHARS):
                     parts = [byte_level_pieces(t) for t in texts[a:b]]
-                    heads = first.fill([p[0] for p in parts])
-                    tails = later.fill([w for p in parts for w in p[1:]])
-                    n_tokens += [heads[p[0]] + sum(map(tails.__getitem__, p[1:])) for p in parts]
+                    first.fill([p[0] for p in parts])
+                    later.fill(list(chain.from_iterable(islice(p, 1, None) for p in parts)))
+                    n_tokens += [first[p[0]] + sum(map(later.__getitem__, islice(p, 1, None))) for p in parts]
             else:
                 n_tokens = encode_lengths(tokenizer, texts)
             yield pa.RecordBatch.from_arrays(
