@@ -28,8 +28,9 @@ from .token_counts import load_tokenizer
 
 #: Pieces that are packed together; more pieces make more groups, each packed apart.
 GROUP = 60_000
-#: White space of ASCII that the word tokenizer drops; other white space stays in words.
-_SPACES = re.compile("[\t-\r ]+")
+#: Separators that Python's split takes for white space and the tokenizer does not.
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[\t-\r ]+")
 
 
 @dataclass(frozen=True)
@@ -59,28 +60,44 @@ def vector_bin_pack(demand: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarra
     weight = (share * count[:, None]).sum(axis=0)
     weight /= max(weight.sum(), 1e-12)
     bin_of, place = np.zeros(len(demand), dtype=np.int64), np.zeros(len(demand), dtype=np.int64)
-    live = np.arange(len(classes))
     bins = 0
+    live = np.arange(len(classes))
     while len(live):
-        room, n = capacity.astype(np.int64), 0
-        fits = live
+        # Classes in order of their first demand: what still fits is among the first of them.
+        own, own_share, stock = classes[live], share[live], left[live]
+        first, rest = own[:, 0], own[:, 1:]
+        room, n, most = capacity.astype(np.int64), 0, len(live)
         while True:
-            fits = fits[(classes[fits] <= room).all(axis=1) & (left[fits] > 0)]
-            if not len(fits):
+            most = int(np.searchsorted(first[:most], room[0], side="right"))
+            fits = (stock[:most] > 0) & (rest[:most] <= room[1:]).all(axis=1)
+            if not fits.any():
                 break
-            score = share[fits] @ (weight * room / capacity)
-            best = fits[len(score) - 1 - int(np.argmax(score[::-1]))]
+            score = np.where(fits, own_share[:most] @ (weight * room / capacity), -1.0)
+            at = most - 1 - int(np.argmax(score[::-1]))
+            best = live[at]
             item = queue[taken[best]]
             taken[best] += 1
             left[best] -= 1
+            stock[at] -= 1
             bin_of[item], place[item] = bins, n
-            room = room - classes[best]
+            room = room - own[at]
             n += 1
         bins += 1
-        live = live[left[live] > 0]
+        if not stock.all():
+            live = live[stock > 0]
     return bin_of, place
 
 
+def words_of(text: str) -> list[str]:
+    """Words between white space, which the tokenizer drops; ASCII texts in lower case, as
+    it reads them (unless that could spell a special token)."""
+    if _NOT_SPACE.search(text):
+        return _SPACE.split(text)
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    return text.split()
+
+
 def word_ids(tokenizer):
     """A function from words without ASCII white space to their ids as bytes, four each."""
 
@@ -104,7 +121,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096
             ids, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
             rows: list[tuple] = []
             for doc_id, text in zip(ids, texts):
-                data = b"".join(map(ids_of.__getitem__, _SPACES.split(text))) + end
+                data = b"".join(map(ids_of.__getitem__, words_of(text))) + end
                 rows += [(doc_id, i // 4, len(data[i : i + step]) // 4, zlib.crc32(data[i : i + step]), len(data) // 4) for i in range(0, len(data), step)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
 
