@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces that a Python worker remembers, and the characters up to which it does.
-CACHE = 1_000_000
+CACHE = 1_500_000
 SHORT = 48
 #: What a worker has made so far, by key: it serves many tasks.
 _made: dict[tuple, object] = {}
