@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Age bands by their floors, oldest first.
 AGE_BANDS = ((55, "55+"), (45, "45-54"), (35, "35-44"), (25, "25-34"), (18, "18-24"))
@@ -20,7 +21,7 @@ def case_number(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(F.trim(raw)), "[^A-Z0-9]+", "-"), F.lit("-"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_names(raw: pd.Series) -> pd.Series:
     def fold(name: str | None) -> str | None:
         if name is None:
