@@ -1,4 +1,66 @@
-"""Queries."""
+"""Streaming queries: each drains the event files and returns what was written."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import events as ev
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and its oracle."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _folder(spark) -> str:
+    """A new folder in the shared place of the session, a temporary one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}"
+    return f"{root}/stream-{uuid.uuid4().hex}"
+
+
+def _drain(spark, rows):
+    at = _folder(spark)
+    ev.run_to_table(rows, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
+@query("st_deduplicated_events", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
+def st1(spark, sf_dir):
+    """Deduplication within the watermark."""
+    return _drain(spark, ev.deduplicated(ev.read_events(spark, sf_dir), "60 days")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st_tumbling_counts", "SELECT day, event_type, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS day, event_type FROM events) WHERE day < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM events) GROUP BY day, event_type")
+def st2(spark, sf_dir):
+    """Tumbling windows of a day that the watermark has closed."""
+    rows = _drain(spark, ev.tumbling_counts(ev.read_events(spark, sf_dir)))
+    return rows.select(F.to_date("window_start").alias("day"), "event_type", "n")
+
+
+@query("st_follow_up", "SELECT i.event_id AS index_id, o.event_id AS outcome_id FROM events i JOIN events o ON o.user_id = i.user_id AND o.ts > i.ts AND o.ts <= i.ts + INTERVAL 3 DAY WHERE i.event_type = 'signup' AND o.event_type = 'error'")
+def st3(spark, sf_dir):
+    """Outcomes in a follow-up window, as a stream-stream interval join."""
+    return _drain(spark, ev.follow_up(ev.read_events(spark, sf_dir), "signup", "error", 3, "40 days")).select("index_id", "outcome_id")
+
+
+@query("st_impacted_users", "SELECT CAST(user_id % 10 AS VARCHAR) AS subject_id, count(*) AS n FROM events GROUP BY ALL")
+def st4(spark, sf_dir):
+    """Batches recompute the subjects they touch."""
+    at = _folder(spark)
+    subject = (F.col("user_id") % 10).cast("string").alias("subject_id")
+    q = ev.recompute_impacted(ev.read_events(spark, sf_dir), f"{at}/out", lambda b: b.groupBy(subject).agg(F.count(F.lit(1)).alias("n")), f"{at}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("subject_id").cast("string").alias("subject_id"), "n")
