@@ -52,8 +52,8 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: str, value: Column) -> Column:
     """Whether a match of the pattern is personal data."""
     if kind == "ip":
-        part = lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3
-        small = lambda p: F.coalesce(F.nullif(F.ltrim(F.lit("0"), p), F.lit("")), F.lit("0")).cast("int") <= 255
+        part = lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3
+        small = lambda p: F.coalesce(F.nullif(F.ltrim(p, F.lit("0")), F.lit("")), F.lit("0")).cast("int") <= 255
         parts = F.split(value, r"\.")
         return F.forall(parts, part) & F.forall(F.filter(parts, part), small)
     if kind == "card":
