@@ -163,7 +163,8 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
     In plain documents every token but a segment's first bears loss. A null or empty text
     packs its end id alone; rows with equal or null ids are packed one by one.
     """
-    pieces = store(token_pieces(docs, path, end_id, limits.tokens, id_col, text_col), "pieces")
+    longest = min(limits.tokens, limits.loss_tokens + 1)
+    pieces = store(token_pieces(docs, path, end_id, longest, id_col, text_col), "pieces")
     return pack(pieces.withColumn("loss_tokens", F.col("length") - 1), limits)
 
 
