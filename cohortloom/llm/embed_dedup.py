@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import group_starts, spanning_labels, store, whole_groups
 from .components import connected_components
+from .sampling import bounded_sample
 
 #: Cosine from which vectors of one label link.
 THRESHOLD = 0.98
@@ -70,7 +71,7 @@ def principal_directions(vectors: DataFrame, dimensions: int = DIMENSIONS, sampl
 
     Any orthonormal directions give right results; these prune best.
     """
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("raw").collect()
+    rows = bounded_sample(vectors, sample, "vec_id").orderBy("vec_id").select("raw").collect()
     if not rows:
         return np.zeros((0, 0))
     x = _matrix([bytes(r.raw) for r in rows])

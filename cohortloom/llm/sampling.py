@@ -24,3 +24,15 @@ def spread_sample(ids: DataFrame, label: str, per_label: int, id_col: str = "doc
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
     slot = F.pmod(h, F.lit(per_label))
     return ids.groupBy(F.col(label), slot.alias("slot")).agg(F.min_by(F.col(id_col), F.struct(h, F.col(id_col))).alias(id_col)).select(id_col, label)
+
+
+def bounded_sample(rows: DataFrame, most: int, id_col: str) -> DataFrame:
+    """At most ``most`` rows, the same ones whatever the partitioning.
+
+    Ids fall into ``most`` slots by hash and the one of smallest hash wins its slot; rows
+    that repeat a chosen id come along.
+    """
+    slotted = rows.where(F.col(id_col).isNotNull()).select(id_col, F.lit(0).alias("all"))
+    chosen = spread_sample(slotted, "all", most, id_col).select(id_col)
+    # At most ``most`` identifiers.
+    return rows.join(F.broadcast(chosen), id_col, "left_semi")
