@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +26,7 @@ from .common import texts_of
 from .sampling import is_held_out, spread_sample
 
 #: Documents of each label that the model learns from, at most.
-PER_LABEL = 3000
+PER_LABEL = 2000
 #: Documents of the sample in which a word must occur to get a weight.
 LEAST_DOCS = 4
 #: Steps of gradient descent, their size, and the strength of the pull towards zero.
@@ -121,23 +122,26 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     texts, y = [texts[i] for i in order], np.array([labels[i] for i in order], dtype=float)
     if not 0 < y.sum() < len(y):
         return Model()
-    bags = [[set(_WORD.findall(s)) for s in _SENTENCE.split(t.lower()) if s] for t in texts]
-    own = {w: features(w) for bag in bags for words in bag for w in words}
-    seen = Counter(f for bag in bags for f in {f for words in bag for w in words for f in own[w]})
+    seen: Counter[str] = Counter()
+    for text in texts:
+        words = set(_WORD.findall(text.lower()))
+        seen.update({f for w in words for f in features(w)})
     index = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS))}
-    doc_of, sent_of, word_of = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            sent = len(doc_of)
-            doc_of.append(d)
-            for w in sorted(words):
-                for f in own[w]:
-                    if f in index:
-                        sent_of.append(sent)
-                        word_of.append(index[f])
-    doc_of, sent_of, word_of = np.array(doc_of, dtype=np.int64), np.array(sent_of, dtype=np.int64), np.array(word_of, dtype=np.int64)
-    if not len(doc_of):
+    del seen
+    # Flat arrays of numbers: the document of each sentence, the sentence of each feature.
+    docs, sents, feats = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for sentence in _SENTENCE.split(text.lower()):
+            if not sentence:
+                continue
+            for w in sorted(set(_WORD.findall(sentence))):
+                found = [i for f in features(w) if (i := index.get(f)) is not None]
+                feats.extend(found)
+                sents.extend([len(docs)] * len(found))
+            docs.append(d)
+    if not docs:
         return Model()
+    doc_of, sent_of, word_of = (np.frombuffer(a, dtype=np.int32) if len(a) else np.zeros(0, dtype=np.int32) for a in (docs, sents, feats))
     n_sent = len(doc_of)
     w, bias = np.zeros(len(index)), math.log(0.05 / max(1.0, n_sent / len(texts)))
     momentum, spread = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
