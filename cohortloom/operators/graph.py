@@ -16,22 +16,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def survivors(merges: DataFrame, steps: int = 64) -> DataFrame:
+def survivors(merges: DataFrame) -> DataFrame:
     """Rows (id, survivor): the end of each chain id -> merged_into (ER10).
 
-    Chains halve in length each round. A cycle's members survive as its smallest id.
+    Each round doubles the length of a step, so every round ends some chains unless only
+    cycles are left: their members, and what leads into them, survive as the cycle's
+    smallest id.
     """
     own = merges.where("merged_into IS NOT NULL").select("id", F.col("merged_into").alias("to"), F.col("id").alias("low"))
-    for _ in range(steps):
+    own, before = cut_lineage(own), None
+    while True:
         onward = own.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("low").alias("next_low"))
-        moved = own.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("after"), F.col("next").isNotNull().alias("moving"), F.least("low", F.coalesce("next_low", "low")).alias("low"))
-        # On a cycle the walk comes back to where it was: its smallest member ends it.
-        done = moved.select("id", F.when(F.col("after") == F.col("id"), F.col("low")).otherwise(F.col("after")).alias("to"), "low", (F.col("moving") & (F.col("after") != F.col("id"))).alias("moving"))
-        done = cut_lineage(done)
-        own = done.where("id <> to").select("id", "to", "low")
-        if done.where("moving").isEmpty():
+        step = own.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("next_low", "low")).alias("low"), F.col("next").isNotNull().alias("moving"))
+        step = cut_lineage(step)
+        own = step.select("id", "to", "low")
+        state = tuple(step.where("moving").agg(F.count(F.lit(1)), F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first())
+        if state[0] == 0:
+            return own.select("id", F.col("to").alias("survivor"))
+        if state == before:
             break
-    return done.select("id", F.col("to").alias("survivor"))
+        before = state
+    cycle = own.select(F.col("id").alias("to"), F.col("low").alias("end"))
+    return own.join(cycle, "to", "left").select("id", F.coalesce("end", "to").alias("survivor"))
 
 
 def components(edges: DataFrame) -> DataFrame:
