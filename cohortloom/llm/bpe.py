@@ -13,9 +13,10 @@ import hashlib
 import heapq
 import json
 import uuid
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,20 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_file, texts_of
+from .common import release, share_file, store, texts_of
 from .pieces import PieceCache, byte_level_pieces, once_per_worker, text_blocks
+from .sampling import bounded_sample
 
 #: Words that the lexicon holds.
 LEXICON = 100_000
-#: Distinct pieces that a task counts before it passes them on.
+#: Documents whose words are counted for the lexicon, at most.
+SAMPLE = 4096
+#: Distinct words that a task counts before it passes them on.
 COUNTED = 200_000
 #: Characters of text that are cut and looked up at a time.
-BLOCK_CHARS = 1 << 22
-#: Pieces that a Python worker remembers with their ids and bytes.
-REMEMBERED = 600_000
+BLOCK_CHARS = 1 << 20
+#: Pieces that a Python worker remembers with their ids.
+REMEMBERED = 1_200_000
 #: Symbols up to which a word is merged by scanning, beyond it with a heap.
 SCAN = 48
 #: The pattern that byte-level BPE vocabularies of this kind are split by.
@@ -65,10 +69,13 @@ class Vocabulary:
         self.byte_id = [0] * 256
         for c, b in alphabet.items():
             self.byte_id[b] = ids[c]
-        self.merges: dict[int, tuple[int, int]] = {}
+        # Rank of each pair of ids, and the id that the pair of a rank becomes.
+        self.rank: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges.setdefault(ids[a] << 32 | ids[b], (rank, ids[a + b]))
+            self.rank.setdefault(ids[a] << 32 | ids[b], rank)
+            self.merged.append(ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
@@ -79,38 +86,41 @@ class Vocabulary:
         ids = [self.byte_id[b] for b in word]
         if len(ids) > SCAN:
             return self._merge_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                found = get(ids[i] << 32 | ids[i + 1])
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+        get, merged, none = self.rank.get, self.merged, len(self.merged)
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            ids[i] = merged[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap over a linked list: n log n for words of any length."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.merges.get
-        heap: list[tuple[int, int, int, int]] = []
+        get = self.rank.get
+        heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
             if j < n and (found := get(ids[i] << 32 | ids[j])) is not None:
-                heapq.heappush(heap, (found[0], i, ids[i] << 32 | ids[j], found[1]))
+                heapq.heappush(heap, (found, i, ids[i] << 32 | ids[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, pair, merged = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = after[i]
             if ids[i] < 0 or j >= n or ids[i] << 32 | ids[j] != pair:
                 continue
-            ids[i], ids[j] = merged, -1
+            ids[i], ids[j] = self.merged[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -242,17 +252,17 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
-    def piece_ids(self, pieces: list[str]) -> list[list[int]]:
+    def piece_ids(self, pieces: list[str]) -> list[Sequence[int]]:
         """Ids of pieces without special tokens."""
         words = [[w.encode("utf-8", "surrogatepass") for w in PATTERN.findall(p)] for p in pieces]
         new = list(dict.fromkeys(w for ws in words for w in ws))
         found = {w: self.lexicon.ids_of(r) if r >= 0 else self.vocabulary.merge(w) for w, r in zip(new, self.lexicon.rows(new).tolist())}
-        return [[i for w in ws for i in found[w]] for ws in words]
+        return [found[ws[0]] if len(ws) == 1 else [i for w in ws for i in found[w]] for ws in words]
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """(text, is special) in order: special tokens are cut out before anything else."""
         special = self.vocabulary.special_pattern
-        if special is None or not special.search(text):
+        if special is None or not any(t in text for t in self.vocabulary.special):
             return [(text, False)] if text else []
         return [(t, t in self.vocabulary.special) for t in special.split(text) if t]
 
@@ -271,8 +281,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         held: Counter[str] = Counter()
         for batch in batches:
             for text in texts_of(batch, "text"):
-                parts = byte_level_pieces(text)
-                held.update([parts[0], *[" " + p for p in parts[1:]]])
+                held.update(PATTERN.findall(text))
                 if len(held) >= COUNTED:
                     yield folded(held)
                     held = Counter()
@@ -280,20 +289,28 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield folded(held)
 
     def folded(held: Counter[str]) -> pa.RecordBatch:
-        words: Counter[str] = Counter()
-        for piece, n in held.items():
-            for word in PATTERN.findall(piece):
-                words[word] += n
-        return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON, text_col: str = "text") -> str:
-    """Compile the ``most`` most frequent words, send the file to the executors, return its name."""
+def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Compile a lexicon, send its file to the executors, return the file's name.
+
+    It holds the ``most`` most frequent words of at most ``sample`` documents, chosen by the
+    hash of their ids. What it holds decides how fast words are encoded, never how.
+    """
     vocabulary = Vocabulary(path)
-    frequent = word_counts(docs, text_col).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most)
-    blob = Transducer.compile({bytes(r.word): vocabulary.merge(bytes(r.word)) for r in frequent.collect()})
+    counts = store(word_counts(bounded_sample(docs, sample, id_col), text_col).where(F.length("word") <= 64), "words")
+    # Words of equal count are all in or all out, so at most ``most`` words are collected.
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
+    room, least = most, 1 << 62
+    for row in sizes:
+        if row.words > room:
+            break
+        room, least = room - row.words, row.n
+    blob = Transducer.compile({bytes(r.word): vocabulary.merge(bytes(r.word)) for r in counts.where(F.col("n") >= least).collect()})
+    release(counts)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     share_file(docs.sparkSession, blob, name)
     return name
@@ -307,19 +324,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     again, special tokens included. A null or empty text has no ids and decodes to "".
     Repeated rows stay; null ids of documents stay null; an empty table gives no rows.
     """
-    name = build_lexicon(docs, path, lexicon_words, text_col)
+    name = build_lexicon(docs, path, lexicon_words, id_col=id_col, text_col=text_col)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = once_per_worker(("vocabulary", path), lambda: Vocabulary(path))
         encoder = Encoder(vocabulary, once_per_worker(("lexicon", name), lambda: Transducer.open(SparkFiles.get(name))))
-        special = {t: (str(i), vocabulary.bytes_of[i]) for t, i in vocabulary.special.items()}
+        special = {t: array("I", [i]).tobytes() for t, i in vocabulary.special.items()}
+        number = once_per_worker(("numbers", path), lambda: [str(i) for i in range(max(vocabulary.bytes_of) + 1)])
+        of_id = once_per_worker(("bytes", path), lambda: [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)])
 
         def values(prefix: str):
-            def of(pieces: list[str]) -> list[tuple[str, bytes]]:
-                return [(",".join(map(str, ids)), b"".join(map(vocabulary.bytes_of.__getitem__, ids))) for ids in encoder.piece_ids([prefix + p for p in pieces])]
-
-            return of
+            return lambda pieces: [array("I", ids).tobytes() for ids in encoder.piece_ids([prefix + p for p in pieces])]
 
         first = once_per_worker(("first ids", path, name), lambda: PieceCache(values(""), 50_000))
         later = once_per_worker(("ids", path, name), lambda: PieceCache(values(" "), REMEMBERED))
@@ -330,20 +346,20 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             decoded_sha: list[str] = []
             for a, b in text_blocks(texts, BLOCK_CHARS):
                 cut = [[(None, t) if s else (byte_level_pieces(t), t) for t, s in encoder.segments(text)] for text in texts[a:b]]
-                first.fill([p[0] for segs in cut for p, _ in segs if p])
-                later.fill([w for segs in cut for p, _ in segs if p for w in p[1:]])
+                heads = first.values(p[0] for segs in cut for p, _ in segs if p)
+                tails = later.values(chain.from_iterable(islice(p, 1, None) for segs in cut for p, _ in segs if p))
                 for segs in cut:
-                    found: list[tuple[str, bytes]] = []
+                    found: list[bytes] = []
                     for p, t in segs:
                         if p is None:
                             found.append(special[t])
                         else:
-                            found.append(first[p[0]])
-                            found += map(later.__getitem__, islice(p, 1, None))
-                    ids = ",".join([x for x, _ in found])
-                    text = b"".join([x for _, x in found]).decode("utf-8", "replace")
-                    counts.append(ids.count(",") + 1 if ids else 0)
-                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                            found.append(heads[p[0]])
+                            found += map(tails.__getitem__, islice(p, 1, None))
+                    ids = array("I", b"".join(found)).tolist()
+                    text = b"".join(map(of_id.__getitem__, ids)).decode("utf-8", "replace")
+                    counts.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest())
                     decoded_sha.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=names)
 

@@ -9,10 +9,9 @@ found for a bounded number of short pieces.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-#: Before a single space between two characters that are not white space.
-SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A single space between two characters that are not white space.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces that a Python worker remembers, and the characters up to which it does.
 CACHE = 1_500_000
@@ -60,11 +59,28 @@ class PieceCache(dict):
             self.keep(piece, value)
         return value
 
-    def fill(self, pieces: list[str]) -> None:
-        """Compute the short pieces that are not remembered in one call."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self and p not in self.old and len(p) <= SHORT]
+    def values(self, pieces: Iterable[str]) -> dict:
+        """A small dictionary of the pieces' values; those not remembered are computed in one call.
+
+        Most pieces of a block repeat within it, so they are found in a table that fits the
+        processor's caches, and the large one is asked once for each.
+        """
+        found = dict.fromkeys(pieces)
+        young, old, new = self.get, self.old.get, []
+        for p in found:
+            value = young(p)
+            if value is None:
+                value = old(p)
+                if value is None:
+                    new.append(p)
+                    continue
+                self.keep(p, value)
+            found[p] = value
         for p, value in zip(new, self.values_of(new)):
-            self.keep(p, value)
+            found[p] = value
+            if len(p) <= SHORT:
+                self.keep(p, value)
+        return found
 
 
 def text_blocks(texts: list[str], most_chars: int) -> Iterator[tuple[int, int]]:

@@ -21,7 +21,7 @@ from .pieces import PieceCache, byte_level_pieces, once_per_worker, text_blocks
 
 #: Bytes in one call of the encoder, and characters of text looked up at a time.
 BATCH_BYTES = 1 << 18
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 20
 _SPACE = " "
 
 
@@ -93,9 +93,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 n_tokens: list[int] = []
                 for a, b in text_blocks(texts, BLOCK_CHARS):
                     parts = [byte_level_pieces(t) for t in texts[a:b]]
-                    first.fill([p[0] for p in parts])
-                    later.fill(list(chain.from_iterable(islice(p, 1, None) for p in parts)))
-                    n_tokens += [first[p[0]] + sum(map(later.__getitem__, islice(p, 1, None))) for p in parts]
+                    heads = first.values(p[0] for p in parts)
+                    tails = later.values(chain.from_iterable(islice(p, 1, None) for p in parts))
+                    n_tokens += [heads[p[0]] + sum(map(tails.__getitem__, islice(p, 1, None))) for p in parts]
             else:
                 n_tokens = encode_lengths(tokenizer, texts)
             yield pa.RecordBatch.from_arrays(
