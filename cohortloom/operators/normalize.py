@@ -28,14 +28,14 @@ def rule_lookup(rows: DataFrame, rules: DataFrame, value: str, reason: str, fall
     exact = rules.where(F.col("reason").isNull() | (F.col("reason") != WILDCARD)).select(F.col("value").alias("ev"), F.coalesce("reason", F.lit("\x00")).alias("er"), F.col("rule").alias("exact_rule"))
     wild = rules.where(F.col("reason") == WILDCARD).select(F.col("value").alias("wv"), F.col("rule").alias("wild_rule"))
     out = rows.withColumn("rv", v).withColumn("rr", F.coalesce(r, F.lit("\x00")))
-    out = out.join(F.broadcast(exact), (F.col("rv") == F.col("ev")) & (F.col("rr") == F.col("er")), "left").join(F.broadcast(wild), F.col("rv") == F.col("wv"), "left")
+    out = out.join(exact, (F.col("rv") == F.col("ev")) & (F.col("rr") == F.col("er")), "left").join(wild, F.col("rv") == F.col("wv"), "left")
     return out.withColumn("rule", F.coalesce("exact_rule", "wild_rule", F.lit(fallback))).drop("rv", "rr", "ev", "er", "wv", "exact_rule", "wild_rule")
 
 
 def total_match(rows: DataFrame, rules: DataFrame, column: str, fallback: str | None, when_blank: str | None) -> DataFrame:
     """The rule of a value: a fallback for unlisted ones, another outcome for blank ones (NO2)."""
     key = rules.select(F.col("value").alias("mv"), F.col("rule").alias("found"))
-    out = rows.withColumn("k", blank(F.col(column))).join(F.broadcast(key), F.col("k") == F.col("mv"), "left")
+    out = rows.withColumn("k", blank(F.col(column))).join(key, F.col("k") == F.col("mv"), "left")
     return out.withColumn("rule", F.when(F.col("k").isNull(), F.lit(when_blank)).otherwise(F.coalesce("found", F.lit(fallback)))).drop("k", "mv", "found")
 
 
@@ -44,7 +44,7 @@ def pretrial_rule(rows: DataFrame, bonds: DataFrame, effective: str, type_column
     kind = blank(F.col(type_column))
     regime = F.when(F.col(date_column) >= F.lit(effective).cast("date"), F.lit("fairness_act")).when(F.col(date_column).isNotNull(), F.lit("monetary_bail"))
     key = bonds.select(F.col("bond_type").alias("bt"), F.col("regime").alias("br"), F.col("rule").alias("bond_rule"))
-    out = rows.withColumn("regime", regime).withColumn("kind", kind).join(F.broadcast(key), (F.col("kind") == F.col("bt")) & (F.col("regime") == F.col("br")), "left")
+    out = rows.withColumn("regime", regime).withColumn("kind", kind).join(key, (F.col("kind") == F.col("bt")) & (F.col("regime") == F.col("br")), "left")
     why = F.when(F.col("kind").isNull(), F.lit("no_bond_type")).when(F.col("regime").isNull(), F.lit("no_bond_date")).when(F.col("bond_rule").isNull(), F.lit("unlisted_bond_type"))
     return out.withColumn("reason", why).drop("kind", "bt", "br")
 
@@ -68,7 +68,7 @@ def sentence_row(rows: DataFrame, phases: DataFrame, components_: DataFrame) ->
     """Phase and components of a sentence row; null components go, repeats count once (NO5)."""
     p = phases.select(F.col("value").alias("pv"), F.col("rule").alias("phase"))
     c = components_.select(F.col("value").alias("cv"), F.col("component"), F.col("extra"))
-    out = rows.join(F.broadcast(p), blank(F.col("sentence_phase")) == F.col("pv"), "left").join(F.broadcast(c), blank(F.col("sentence_type")) == F.col("cv"), "left")
+    out = rows.join(p, blank(F.col("sentence_phase")) == F.col("pv"), "left").join(c, blank(F.col("sentence_type")) == F.col("cv"), "left")
     made = F.array_distinct(F.array_compact(F.array("component", "extra")))
     return out.withColumn("components", made).withColumn("flags", F.when(F.size(made) == 0, F.array(F.lit("unlisted_type"))).otherwise(F.array().cast("array<string>"))).drop("pv", "cv", "component", "extra")
 

@@ -150,7 +150,7 @@ def alias_lookup(names: DataFrame, exact: DataFrame, normal: DataFrame, normalis
     """Judge of a name: exact alias, else normalised one; held aliases resolve to nobody (ER14)."""
     e = exact.select(F.col("alias").alias("name"), F.col("judge_id").alias("e_id"), F.col("held").alias("e_held"))
     n = normal.select(F.col("alias").alias("folded"), F.col("judge_id").alias("n_id"), F.col("held").alias("n_held"))
-    out = names.withColumn("folded", normalise(F.col("name"))).join(F.broadcast(e), "name", "left").join(F.broadcast(n), "folded", "left")
+    out = names.withColumn("folded", normalise(F.col("name"))).join(e, "name", "left").join(n, "folded", "left")
     held = F.coalesce("e_held", "n_held", F.lit(False))
     status = F.when(F.col("name").isNull(), F.lit("blank")).when(held, F.lit("held")).when(F.coalesce("e_id", "n_id").isNotNull(), F.lit("resolved")).otherwise(F.lit("unresolved"))
     return out.select("name", F.when(status == "resolved", F.coalesce("e_id", "n_id")).alias("judge_id"), status.alias("status"))

@@ -31,7 +31,7 @@ def with_dimensions(observations: DataFrame, definitions: DataFrame, sources: Da
     """Current observations with definition, source and snapshot, all optional (JO12, FI11)."""
     out = observations.where("superseded_at IS NULL")
     for table, key in ((definitions, "slug"), (sources, "source_id"), (snapshots, "snapshot_id")):
-        out = out.join(F.broadcast(table), key, "left")  # catalogues of a few rows
+        out = out.join(table, key, "left")
     return out
 
 

@@ -10,32 +10,49 @@ from pyspark.sql import functions as F
 from ..functions.columns import suppression_reason
 
 
-def split_cutoff(rows: DataFrame, at: str, quantile: float = 0.75) -> DataFrame:
-    """Nearest-rank quantile of instants, one row; rows from it on are the test set (AD24).
+def ordered_parts(rows: DataFrame, column: str) -> DataFrame:
+    """Rows with ``part``: consecutive ranges of the column, about as many as shuffle partitions.
+
+    The bounds are fixed numbers from approximate quantiles, so every use of the result cuts
+    at the same places. Equal values share a part.
+    """
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000).alias("q")).first().q or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(found))]) if found else F.array().cast("array<double>")
+    return rows.withColumn("part", F.size(F.filter(bounds, lambda b: b < F.col(column))))
+
+
+def counts_before(rows: DataFrame, column: str, weight: str) -> DataFrame:
+    """Rows with ``before``: the weights of all smaller values. One row per value is expected.
 
-    Instants are counted first, so the ordered pass is over distinct ones.
+    Weights are summed per part, parts (a row each) are accumulated, and a window runs inside
+    each part: no task sees all values.
     """
+    parts = ordered_parts(rows, column)
+    sums = parts.groupBy("part").agg(F.sum(weight).alias("part_sum"))
+    earlier = sums.select("part", (F.sum("part_sum").over(Window.orderBy("part")) - F.col("part_sum")).alias("earlier"))
+    inside = F.sum(weight).over(Window.partitionBy("part").orderBy(column)) - F.col(weight)
+    return parts.withColumn("inside", inside).join(F.broadcast(earlier), "part").withColumn("before", F.col("earlier") + F.col("inside")).drop("part", "inside", "earlier")
+
+
+def split_cutoff(rows: DataFrame, at: str, quantile: float = 0.75) -> DataFrame:
+    """Nearest-rank quantile of instants, one row; rows from it on are the test set (AD24)."""
     counts = rows.groupBy(F.unix_micros(at).alias("t")).agg(F.count(F.lit(1)).alias("c"))
-    running = counts.select("t", F.sum("c").over(Window.orderBy("t")).alias("upto"))
     total = rows.agg(F.greatest(F.ceil(F.count(F.lit(1)) * F.lit(quantile)), F.lit(1)).alias("rank"))
-    return running.crossJoin(F.broadcast(total)).where("upto >= rank").agg(F.min("t").alias("cutoff"))  # one row
+    return counts_before(counts, "t", "c").crossJoin(F.broadcast(total)).where("before + c >= rank").agg(F.min("t").alias("cutoff"))  # one row
 
 
 def average_ranks(scores: DataFrame, column: str) -> DataFrame:
-    """Rows (value, average_rank): ties share their mean rank (WI7).
-
-    Ranks come from counts of distinct values, not from single rows.
-    """
+    """Rows (value, average_rank): ties share their mean rank (WI7)."""
     counts = scores.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("ties"))
-    before = F.sum("ties").over(Window.orderBy("value")) - F.col("ties")
-    return counts.select("value", "ties", (before + (F.col("ties") + 1) / 2).alias("average_rank"))
+    return counts_before(counts, "value", "ties").select("value", "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("average_rank"))
 
 
 def roc_auc(scores: DataFrame, predicted: str = "predicted", outcome: str = "outcome") -> DataFrame:
     """Mann-Whitney AUC with ties averaged; null unless both outcomes occur (AD25)."""
     per = scores.groupBy(F.col(predicted).alias("value")).agg(F.count(F.lit(1)).alias("ties"), F.sum(F.col(outcome).cast("long")).alias("pos"))
-    rank = F.sum("ties").over(Window.orderBy("value")) - F.col("ties") + (F.col("ties") + 1) / 2
-    sums = per.select("ties", "pos", rank.alias("rank")).agg(F.sum("pos").alias("p"), F.sum("ties").alias("n"), F.sum(F.col("pos") * F.col("rank")).alias("r"))
+    rank = F.col("before") + (F.col("ties") + 1) / 2
+    sums = counts_before(per, "value", "ties").select("ties", "pos", rank.alias("rank")).agg(F.sum("pos").alias("p"), F.sum("ties").alias("n"), F.sum(F.col("pos") * F.col("rank")).alias("r"))
     p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     return sums.select(F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auc"))
 
@@ -48,15 +65,14 @@ def brier(scores: DataFrame) -> DataFrame:
 def calibration_bins(scores: DataFrame, bins: int = 10, tie: str = "member_id") -> DataFrame:
     """Equal-count bins of the rows by prediction, larger bins first (WI8, AD25).
 
-    Places come from a range-partitioned sort: the counts before each partition are added to
-    places inside it, so no task sees all rows.
+    Rows are numbered inside ranges of the prediction, and the rows of earlier ranges added.
     """
-    spread = scores.repartitionByRange(F.col("predicted"), F.col(tie)).withColumn("part", F.spark_partition_id())
-    inside = spread.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("predicted", tie)))
-    sizes = inside.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    parts = ordered_parts(scores, "predicted")
+    inside = parts.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("predicted", tie)))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     total = scores.agg(F.count(F.lit(1)).alias("total"))
-    rows = inside.join(F.broadcast(before), "part").crossJoin(F.broadcast(total))  # a row per partition; one row
+    rows = inside.join(F.broadcast(before), "part").crossJoin(F.broadcast(total))  # a row per range; one row
     i, n = F.col("before") + F.col("place") - 1, F.col("total")
     small, extra = F.floor(n / bins), n % bins
     edge = extra * (small + 1)
