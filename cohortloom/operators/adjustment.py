@@ -233,7 +233,7 @@ class Fit:
     objective: float
 
 
-def fit_logistic(rows: DataFrame, width: int, lam: float = 1.0, most: int = 50, tolerance: float = 1e-8, halvings: int = 30) -> Fit:
+def fit_logistic(rows: DataFrame, width: int, lam: float = 1.0, most: int = 50, tolerance: float = 1e-8, halvings: int = 30, start: np.ndarray | None = None) -> Fit:
     """Penalised maximum likelihood by Newton steps; the intercept is free (AD14).
 
     Each step is one pass over rows (x, n, y) that returns 1 + k + k^2 sums.
@@ -249,7 +249,7 @@ def fit_logistic(rows: DataFrame, width: int, lam: float = 1.0, most: int = 50,
         penalty = lam * free * beta
         return v[0] - 0.5 * float(penalty @ beta), v[1 : 1 + width] - penalty, v[1 + width :].reshape(width, width) + np.diag(lam * free)
 
-    beta = np.zeros(width)
+    beta = np.zeros(width) if start is None else np.array(start, dtype=float)
     value, gradient, hessian = sums(beta)
     steps = 0
     while np.abs(gradient).max() >= tolerance and steps < most:
@@ -365,6 +365,56 @@ def bootstrap_intervals(scores: DataFrame, seed: int, stream: str, count: int, l
     return shaped.groupBy("judge_id").agg(F.percentile(ratio, F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.count(F.lit(1)).alias("replicates")).select("judge_id", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")
 
 
+def refitted_sums(d: Design, published: Fit, seed: int, stream: str, count: int, lam: float = 1.0) -> DataFrame:
+    """Rows (replicate, judge_id, observed, expected) with the model fitted again in every replicate (AD20, AD21).
+
+    A replicate weighs each person's events by how often the person was drawn; its fit
+    starts from the published coefficients. Replicates that do not converge are left out.
+    """
+    from .graph import cut_lineage
+
+    spark = d.rows.sparkSession
+    names = [n for n, _, _ in FEATURES]
+    people = [r.person_id for r in d.rows.select("person_id").distinct().collect()]  # bounded as in bootstrap_intervals
+    parts = []
+    for r, drawn in enumerate(replicate_weights(people, seed, stream, count)):
+        weights = spark.createDataFrame(list(drawn.items()), "person_id string, draws int")
+        rows = cut_lineage(d.rows.join(weights, "person_id"))
+        folded = rows.groupBy(*names).agg(F.sum("draws").cast("double").alias("n"), F.sum(F.col("outcome") * F.col("draws")).cast("double").alias("y"))
+        fit = fit_logistic(cut_lineage(folded.select(d.vector().alias("x"), "n", "y")), len(d.columns), lam, start=published.coefficients)
+        if not fit.converged:
+            continue
+        scores = scored(Design(rows, d.columns, d.labels), fit.coefficients)
+        parts.append(scores.groupBy("judge_id").agg(F.lit(r).alias("replicate"), F.sum(F.col("outcome") * F.col("draws")).alias("observed"), F.sum(F.col("predicted") * F.col("draws")).alias("expected")))
+    if not parts:
+        return spark.createDataFrame([], "judge_id string, replicate int, observed long, expected double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fit_missing(frame: Frame, wanted: list[tuple[str, int | None]], known: DataFrame | None = None, lam: float = 1.0) -> list[dict]:
+    """Catalogue entries of the models that are not known yet (AD23, AD28, MS16-MS18).
+
+    Each holds its status, coefficients at twelve significant digits and the hash of these.
+    """
+    from ..sources.files import significant
+    from .graph import cut_lineage
+
+    have = set() if known is None else {(r.target, r.window_days) for r in known.select("target", "window_days").collect()}
+    out = []
+    for target, window in wanted:
+        if (target, window) in have:
+            continue
+        events = decision_events(frame) if target == "pretrial_release" else release_events(frame, target, window)
+        d = design(cut_lineage(feature_levels(frame, events)))
+        n = d.rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("outcome").alias("events")).first()
+        enough = fit_status(n.events or 0, n.rows, len(d.columns), None) != "insufficient_events"
+        fit = fit_logistic(cut_lineage(patterns(d)), len(d.columns), lam) if enough else None
+        coefficients = {c: significant(float(b)) for c, b in zip(d.columns, fit.coefficients)} if fit else {}
+        digest = hashlib.sha256(repr(sorted(coefficients.items())).encode()).hexdigest()
+        out.append({"target": target, "window_days": window, "status": fit_status(n.events or 0, n.rows, len(d.columns), fit), "rows": n.rows, "events": n.events or 0, "coefficients": coefficients, "model_hash": digest})
+    return out
+
+
 def ratio_drafts(table: DataFrame, intervals: DataFrame, threshold: int = 30, least_expected: float = 5.0) -> DataFrame:
     """One draft per judge, withheld where members or expected outcomes are few (AD22, AG10)."""
     from ..functions.columns import suppression_reason

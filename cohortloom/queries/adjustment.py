@@ -271,3 +271,30 @@ def ms22(spark, sf_dir):
     return va.findings(e.select(F.col("event_type").alias("code"), F.lit("events").alias("artifact"), (F.col("user_id") % 3).cast("string").alias("detail")))
 
 
+@query("ad21_refitted_bootstrap")
+def ad21(spark, sf_dir):
+    """AD20, AD21: two replicates with the model fitted again."""
+    d, fit = _fitted(spark, sf_dir)
+    return ad.refitted_sums(d, fit, 7, "bootstrap:pretrial_release:none", 2)
+
+
+@query("ad28_model_catalogue")
+def ad28(spark, sf_dir):
+    """AD23, AD27, AD28: one target is known already, the other is fitted, stored and verified."""
+    import tempfile
+
+    from ..sources import files
+
+    known = spark.createDataFrame([("new_case", 365)], "target string, window_days int")
+    rows = ad.fit_missing(orders_frame(spark, sf_dir), [("new_case", 365), ("pretrial_release", None)], known)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}"
+    checked = [files.first_difference(r, files.read_artifact(spark, files.write_artifact(spark, f"{root}/models", r))) is None for r in rows]
+    return spark.createDataFrame([(r["target"], r["window_days"], r["status"], r["rows"], r["events"], len(r["coefficients"]), ok) for r, ok in zip(rows, checked)], "target string, window_days int, status string, rows long, events long, coefficients int, verified boolean")
+
+
+@query("va4_sensitivity", "SELECT round(corr(a, b), 6) AS pearson, 1.0 AS spearman, round(max(abs(a - b)), 6) AS largest_change, count(*) AS judges FROM (SELECT s_suppkey + 0.5 AS a, (s_suppkey + 0.5) * (s_suppkey + 0.5) AS b FROM supplier)")
+def va4(spark, sf_dir):
+    """VA4: ratios and their squares have the same order."""
+    s = inputs(spark, sf_dir, "supplier")["supplier"].select(F.col("s_suppkey").alias("judge_id"), (F.col("s_suppkey") + F.lit(0.5)).alias("ratio"))
+    out = va.sensitivity(s, s.withColumn("ratio", F.col("ratio") * F.col("ratio")))
+    return out.select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"), F.round("largest_change", 6).alias("largest_change"), "judges")

@@ -296,3 +296,33 @@ def ld8(spark, sf_dir):
     """LD8, LD9."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("ord", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"))
     return members.keep_first(rows, ["l_orderkey", "l_linenumber"], "ord", ["l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "dropped", "conflicting")
+
+
+@query("me8_stored_precision", "SELECT o_orderkey, CAST(round_even(CAST(o_totalprice / 7 AS DECIMAL(30, 12)), 4) AS DECIMAL(14, 4)) AS v FROM orders")
+def me8(spark, sf_dir):
+    """ME8, MS13."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") / 7).cast("decimal(30,12)").alias("v"))
+    return members.stored_precision(o, values=("v",))
+
+
+@query("me14_retire", "SELECT c_custkey AS id FROM customer WHERE c_nationkey % 2 = 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def me14(spark, sf_dir):
+    """ME14: customers of odd nations retire unless an order of another source names them."""
+    g = inputs(spark, sf_dir, "customer", "orders")
+    c = g["customer"].select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 2 == 0, F.lit("a")).otherwise(F.lit("b")).alias("source_id"))
+    refs = g["orders"].select(F.col("o_custkey").alias("ref"), F.when(F.col("o_orderstatus") == "P", F.lit("a")).otherwise(F.lit("b")).alias("source_id"))
+    return members.retire(c, "b", [refs]).select("id")
+
+
+@query("sc19_member_store", _MB + "SELECT subject_id, count(*) AS n FROM mb GROUP BY ALL")
+def sc19(spark, sf_dir):
+    """SC19, MS11: members written by subject, read again and expanded."""
+    import tempfile
+    import uuid
+
+    from ..sources.files import write_members
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}"
+    path = f"{root}/members-{uuid.uuid4().hex}"
+    write_members(_members(spark, sf_dir), path)
+    return members.expand(spark.read.parquet(path)).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
