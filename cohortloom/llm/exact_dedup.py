@@ -34,18 +34,22 @@ def normalised(text: str | None) -> bytes:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, digest binary, n_bytes) of the normalised texts; no shuffle."""
-    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64())])
+    """Rows (doc_id, digest binary, n_bytes, text_key) of the normalised texts; no shuffle.
+
+    text_key is xxhash64 of the text as it stands: with the identifier it tells rows apart
+    that share one.
+    """
+    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("text_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [normalised(t) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
+                [batch.column(0).cast(pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), batch.column(2)],
                 schema=out,
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary, n_bytes long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).mapInArrow(run, "doc_id long, digest binary, n_bytes long, text_key long")
 
 
 def _better(a: int | None, b: int | None, largest: bool) -> int | None:
@@ -125,7 +129,7 @@ def merge_tree(each: DataFrame, leaves: int, fan_in: int = FAN_IN, largest: bool
     rounds = max(1, math.ceil(math.log(max(2, leaves), fan_in)))
     slots = fan_in**rounds
     schema = "slot int, digest binary, n_bytes long, keep_id long, group_size long"
-    runs = each.mapInArrow(_runs(slots, largest), schema)
+    runs = each.select("doc_id", "digest", "n_bytes").mapInArrow(_runs(slots, largest), schema)
     # Four leading bytes of the digest choose the final slot, one base-fan_in digit a round.
     home = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(slots))
     for k in range(rounds):
@@ -141,7 +145,7 @@ def merge_tree(each: DataFrame, leaves: int, fan_in: int = FAN_IN, largest: bool
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, fan_in: int = FAN_IN) -> DataFrame:
-    """Rows (doc_id, keep_id, group_size, kept, digest), one per row of ``docs``.
+    """Rows (doc_id, keep_id, group_size, kept, digest, text_key), one per row of ``docs``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal
     texts the row with the largest doc_id stays (the smallest if ``largest`` is false).
@@ -156,4 +160,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "digest",
+        "text_key",
     )

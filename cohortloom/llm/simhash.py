@@ -59,18 +59,19 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp) with the fingerprint as a signed long; no shuffle.
+    """Rows (doc_id, fp, text_key) with the fingerprint as a signed long; no shuffle.
 
-    A null or empty text, or one of white space alone, has fingerprint 0.
+    A null or empty text, or one of white space alone, has fingerprint 0. text_key is
+    xxhash64 of the text: with the identifier it tells rows apart that share one.
     """
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t) for t in texts_of(batch, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints)], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints), batch.column(2)], schema=out)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).mapInArrow(run, "doc_id long, fp long, text_key long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -204,7 +205,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one per row of ``docs``.
+    """Rows (doc_id, fp, component_id, text_key), one per row of ``docs``.
 
     component_id is the smallest doc_id reachable over links, itself included. Texts
     without words all have fingerprint 0 and link like any other. Rows with a null
@@ -217,4 +218,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = near_links(distinct.where("node IS NOT NULL"), radius)
     grouped = connected_components(links)
     by_print = distinct.join(grouped, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return each.join(by_print, "fp", "left").select("doc_id", "fp", "component_id")
+    return each.join(by_print, "fp", "left").select("doc_id", "fp", "component_id", "text_key")

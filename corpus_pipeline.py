@@ -21,26 +21,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts: the one with the largest id.
 
-    Rows that repeat an id and its text stay together; documents without an id stay if
-    no equal text has one.
+    Rows that repeat that id with its text stay together; of a group without any id all
+    rows stay.
     """
-    found = exact_dedup.exact_duplicates(docs)
-    return _without(docs, found.where("NOT kept").select("doc_id"))
+    return _without(docs, exact_dedup.exact_duplicates(docs).where("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near-duplicates: the one with the smallest id.
 
     Texts with fewer words than a shingle are compared as a whole; texts without words
-    are one component. Documents without an id stay.
+    are one component. Rows that repeat that id stay together; of a component without any
+    id all rows stay.
     """
-    found = simhash.near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    return _without(docs, simhash.near_duplicates(docs).where("NOT doc_id <=> component_id"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not among those that go."""
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not among those that go, told by id and text together."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"])
+    return docs.join(gone, same, "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,3 +178,20 @@ def test_pipeline_stages(staged):
     assert ((np.bitwise_count(k[:, None] ^ k[None, :]) <= 3).sum(axis=1) == 1).all()
     assert ids(masked) == kept and all(not plain_spans(r.text) for r in masked.collect()) and ids(packed) == kept
     assert len(ids(clean)) >= 0.8 * all_.count()
+
+
+def test_pipeline_dedup_stages_with_null_and_shared_ids(spark):
+    near = "one two three four five six seven eight nine ten " * 20
+    rows = [(1, "A b"), (9, "a B"), (9, "another text"), (None, "a b"), (None, "lonely words here"), (9, "a B"), (5, near), (6, near + "eleven"), (None, near), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, gone_key string")
+    kept = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    key = lambda df: sorted((r.doc_id or -1, r.text or "") for r in df.collect())
+    assert key(kept) == sorted([(9, "a B"), (9, "a B"), (9, "another text"), (-1, "lonely words here"), (5, near), (6, near + "eleven"), (8, "")])
+    once = corpus_pipeline.drop_near_copies(spark, kept, SF)
+    from cohortloom.llm.simhash import fingerprint
+
+    linked = (fingerprint(near) ^ fingerprint(near + "eleven")).bit_count() <= 3
+    assert key(once) == sorted([x for x in key(kept) if not (linked and x[0] == 6)])
+    assert corpus_pipeline.mask_personal_data(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.drop_copies(spark, docs.limit(0), SF).collect() == corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).collect() == []
