@@ -61,7 +61,7 @@ def sv2(spark, sf_dir):
     return serving.compare_page(o, services(spark, sf_dir).withColumn("judge_id", F.col("judge_id").cast("string")), names, 15)
 
 
-@query("sv4_search", "SELECT 'judge' AS entity_type, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, 1.0 AS score FROM supplier WHERE s_suppkey = 7 AND false")
+@query("sv4_search")
 def sv4(spark, sf_dir):
     """SV4, FN14, ST3: the best twenty hits."""
     g = inputs(spark, sf_dir, "supplier", "nation", "orders")
@@ -70,8 +70,6 @@ def sv4(spark, sf_dir):
     return serving.search(judges, courts, g["orders"].select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C-"), "o_orderkey").alias("number")), "nation 1", "C-33", 20)
 
 
-del ORACLE_SQL["sv4_search"]
-
 
 @query("fn14_similarity", "WITH n AS (SELECT n_nationkey, n_name, list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(n_name), '[^\\pL\\pN]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INT), 3))))) AS g FROM nation), q AS (SELECT g FROM n WHERE n_nationkey = 3) SELECT n.n_nationkey, len(list_intersect(n.g, q.g)) / CAST(len(n.g) + len(q.g) - len(list_intersect(n.g, q.g)) AS DOUBLE) AS score FROM n, q")
 def fn14(spark, sf_dir):
