@@ -1,0 +1,134 @@
+"""Near-duplicates by the Jaccard likeness of word shingles, exactly.
+
+Two shingle sets are linked where their Jaccard likeness is ``least`` or more. In any
+order over all shingles, linked sets of n shingles share one among the first
+n - ceil(least n) + 1 of each (prefix filtering), so candidates meet at a shingle of
+their prefixes. Shingles that a sample shows to be common come last in the order: that
+keeps groups small and never changes the result. Candidates are compared as whole sets.
+A first round compares each set with the smallest of its groups; a second compares the
+remaining pairs, those that the first has connected left out.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import release, store, texts_of
+from .components import connected_components
+from .sampling import bounded_sample
+
+#: Seed of XXH64 over a shingle.
+SEED = 42
+#: Words in a shingle, and Jaccard likeness from which texts link.
+SHINGLE, LEAST = 5, 0.8
+#: Documents that tell which shingles are common, in how many of them, and most of these kept.
+SAMPLE, COMMON_IN, MOST_COMMON = 4096, 3, 1 << 16
+
+
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    width = min(width, len(words))
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64))
+
+
+def prefix_length(n: int, least: float) -> int:
+    """Shingles of a set of ``n`` that every linked set meets one of."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+
+
+def shingle_sets(docs: DataFrame, width: int, least: float, common: np.ndarray | None) -> DataFrame:
+    """Rows (doc_id, text_key, node, n, items): the prefix of each set, or all of it without ``common``.
+
+    node is a hash of the whole set: texts of equal sets are one node.
+    """
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("items", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, items = [], [], []
+            for text in texts_of(batch, "text"):
+                s = shingles(text, width)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                sizes.append(len(s))
+                if common is not None and len(s):
+                    if len(common):
+                        known = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                        s = np.concatenate([s[~known], s[known]])
+                    s = s[: prefix_length(len(s), least)]
+                items.append(s.view(np.int64))
+            bounds = np.concatenate([[0], np.cumsum([len(i) for i in items])]).astype(np.int32)
+            values = np.concatenate(items) if items else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))],
+                schema=out,
+            )
+
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, node long, n int, items array<long>")
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that several documents of a bounded sample share."""
+    sample = shingle_sets(bounded_sample(docs, SAMPLE, "doc_id"), width, 1.0, None).dropDuplicates(["node"])
+    counts = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_IN)
+    top = counts.orderBy(F.desc("n"), "item").limit(MOST_COMMON).select("item").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (u, v) of the pairs (u, v) whose whole sets are alike."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # One row per set that is compared, its shingles made again from one of its texts.
+    keys = sets.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    whole = shingle_sets(docs.join(keys.select("text_key"), "text_key", "left_semi"), width, least, None)
+    whole = store(whole.dropDuplicates(["node"]).select("node", "items"), "sets")
+    left, right = whole.select(F.col("node").alias("u"), F.col("items").alias("a")), whole.select(F.col("node").alias("v"), F.col("items").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = both >= F.lit(least) * (F.size("a") + F.size("b") - both) - F.lit(1e-9)
+    links = store(pairs.join(left, "u").join(right, "v").where(alike).select("u", "v"), "near")
+    release(whole)
+    return links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Rows (doc_id, component_id, text_key), one per row of ``docs``.
+
+    component_id is the smallest doc_id, other than null, reachable over links, itself
+    included (null where there is none). Texts without words have equal, empty sets.
+    Rows with a null doc_id link like any other. text_key is xxhash64 of the text.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    sets = store(shingle_sets(docs, width, least, common_shingles(docs, width)), "prefixes")
+    nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+    posted = nodes.select(F.explode("items").alias("item"), "node", "n")
+    # Most shingles occur in one set only: counts go first, without the rows.
+    shared = posted.groupBy("item").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("first")).where("sets > 1")
+    posted = store(posted.join(shared.select("item", "first"), "item"), "posted")
+    near_size = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9)
+    sizes = posted.select(F.col("node").alias("first"), F.col("n").alias("m")).distinct()
+    stars = posted.where("node <> first").select("node", "n", "first").distinct().join(sizes, "first").where(near_size)
+    links = _linked(store(stars.select(F.col("first").alias("u"), F.col("node").alias("v")), "pairs"), docs, sets, width, least)
+    of_node = connected_components(links)
+    placed = posted.join(of_node, "node", "left").select("item", "node", "n", F.coalesce("component", "node").alias("c"), "first")
+    other = placed.select("item", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
+    rest = placed.where("node <> first").join(other.join(posted.select("item", F.col("first").alias("skip")).distinct(), "item").where("v <> skip").drop("skip"), "item")
+    rest = rest.where("node < v AND c <> d").where(near_size).select(F.col("node").alias("u"), "v").distinct()
+    more = _linked(store(rest, "pairs"), docs, sets, width, least)
+    grouped = connected_components(links.unionByName(more))
+    by_node = sets.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(grouped, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    ids = by_node.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    by_node = by_node.join(ids, "component").select("node", "component_id")
+    return sets.join(by_node, "node").select("doc_id", "component_id", "text_key")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import exact_dedup, packing, pii, simhash, toxicity
+from cohortloom.llm import exact_dedup, packing, pii, shingle_dedup, toxicity
 from cohortloom.llm.common import new_path, table
 
 
@@ -30,11 +30,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near-duplicates: the one with the smallest id.
 
+    Texts link where their sets of five-word shingles have a Jaccard likeness of 0.8 or more.
     Texts with fewer words than a shingle are compared as a whole; texts without words
     are one component. Rows that repeat that id stay together; of a component without any
     id all rows stay.
     """
-    return _without(docs, simhash.near_duplicates(docs).where("NOT doc_id <=> component_id"))
+    return _without(docs, shingle_dedup.near_duplicates(docs).where("NOT doc_id <=> component_id"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
