@@ -39,6 +39,8 @@ FEATURES: tuple[tuple[str, tuple[str, ...] | None, bool], ...] = (
     ("calendar_year", None, True),
 )
 LOOKBACK_DAYS = 1095
+#: Replicates of the reference's intervals.
+REPLICATES = 500
 KEY = ["source_id", "member_id"]
 
 
@@ -337,58 +339,183 @@ def replicate_weights(clusters: list[str], seed: int, stream: str, count: int) -
         yield drawn
 
 
-def bootstrap_intervals(scores: DataFrame, seed: int, stream: str, count: int, level: float = 0.95, most_clusters: int = 1_000_000) -> DataFrame:
-    """Percentile interval of each judge's pooled ratio over replicates of persons (AD21).
+def _draws(seed: int, stream: str, people: int, count: int) -> Iterator[np.ndarray]:
+    """Draws per place of the sorted clusters in each replicate: those of ``replicate_weights``.
 
-    Weights are made on the driver, person by person, up to ``most_clusters`` persons (a
-    checked bound); sums over replicates and quantiles run on the executors.
+    NumPy continues the same Mersenne state, so tasks make the weights themselves.
     """
-    spark = scores.sparkSession
-    people = scores.select("person_id").distinct()
-    if people.count() > most_clusters:
+    state = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{stream}".encode()).digest(), "big")).getstate()[1]
+    source = np.random.RandomState()
+    source.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
+    for _ in range(count):
+        yield np.bincount((source.random_sample(people) * people).astype(np.int64), minlength=people)
+
+
+def _placed(rows: DataFrame, most_clusters: int) -> tuple[DataFrame, int]:
+    """Rows with the place of their person among the sorted distinct ones, and how many these are."""
+    people = rows.select("person_id").where("person_id IS NOT NULL").distinct()
+    n = people.count()
+    if n > most_clusters:
         raise ValueError("too many persons for replicates from one stream")
-    names = [r.person_id for r in people.collect()]
-    rows = [(r, k, n) for r, drawn in enumerate(replicate_weights(names, seed, stream, count)) for k, n in drawn.items()]
-    weights = spark.createDataFrame(rows, "replicate int, person_id string, draws int")
-    per_person = scores.groupBy("judge_id", "person_id").agg(F.sum("outcome").alias("o"), F.sum("predicted").alias("e"))
-    sums = per_person.join(weights, "person_id").groupBy("replicate", "judge_id").agg(F.sum(F.col("o") * F.col("draws")).alias("observed"), F.sum(F.col("e") * F.col("draws")).alias("expected"))
-    shapes = []
-    table: dict[int, list[tuple[float, float]]] = {}
-    for r in sums.select("replicate", "observed", "expected").collect():  # replicates x judges
-        table.setdefault(r.replicate, []).append((float(r.observed), r.expected))
-    for r, pairs in table.items():
-        o, e = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-        shapes.append((r, fit_shape(o, e, grid=40)))
-    shaped = sums.join(F.broadcast(spark.createDataFrame(shapes, "replicate int, shape double")), "replicate")
+    return rows.join(people.select("person_id", (F.row_number().over(Window.orderBy("person_id")) - 1).alias("place")), "person_id"), n
+
+
+def _replicate_sums(rows: DataFrame, draws: tuple[int, str, int, int], betas: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """Rows (replicate, judge_id, observed, expected) of rows (place, judge_id, outcome) and ``predicted`` or ``active``."""
+    kind = rows.schema["judge_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part = pa.Table.from_batches(held).combine_chunks()
+        place, y = part["place"].to_numpy(), part["outcome"].to_numpy().astype(float)
+        judges = part["judge_id"].combine_chunks().dictionary_encode()
+        code, m = judges.indices.to_numpy(zero_copy_only=False), len(judges.dictionary)
+        x = None if betas is None else _active(part)
+        for r, drawn in enumerate(_draws(*draws)):
+            if betas is not None and r not in betas:
+                continue
+            w = drawn[place]
+            p = part["predicted"].to_numpy() if betas is None else expit(np.append(betas[r], 0.0)[x].sum(axis=1))
+            there = np.flatnonzero(np.bincount(code, w, m))
+            o, e = np.bincount(code, w * y, m)[there], np.bincount(code, w * p, m)[there]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), r, dtype=np.int32)), judges.dictionary.take(pa.array(there)), pa.array(o.astype(np.int64)), pa.array(e)], names=["replicate", "judge_id", "observed", "expected"])
+
+    sums = rows.mapInArrow(run, f"replicate int, judge_id {kind}, observed long, expected double")
+    return sums.groupBy("replicate", "judge_id").agg(F.sum("observed").alias("observed"), F.sum("expected").alias("expected"))
+
+
+def _active(part: pa.Table) -> np.ndarray:
+    """Design columns that are 1 in each row; places without one hold the last column, -1."""
+    return part["active"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+
+
+def _in_tasks(rows: DataFrame, most: int = 20_000) -> DataFrame:
+    """The rows in tasks of about ``most``: each makes all weights and returns sums of all replicates."""
+    from .graph import cut_lineage
+
+    rows = cut_lineage(rows)
+    return cut_lineage(rows.repartition(max(1, -(-rows.count() // most))))
+
+
+def _intervals(sums: DataFrame, judges: DataFrame, level: float) -> DataFrame:
+    """Percentile interval of each judge's pooled ratio; a judge without events in a replicate has ratio 1."""
+
+    def shape(key: tuple, group: pa.Table) -> pa.Table:
+        found = fit_shape(group["observed"].to_numpy().astype(float), group["expected"].to_numpy())
+        return pa.table({"replicate": pa.array([key[0].as_py()], pa.int32()), "shape": pa.array([found])})
+
+    shapes = sums.groupBy("replicate").applyInArrow(shape, "replicate int, shape double")
+    every = judges.select("judge_id").distinct().crossJoin(F.broadcast(shapes))  # one row per replicate
+    filled = every.join(sums, ["replicate", "judge_id"], "left").na.fill(0, ["observed", "expected"])
     ratio = (F.col("shape") + F.col("observed")) / (F.col("shape") + F.col("expected"))
     tail = (1 - level) / 2
-    return shaped.groupBy("judge_id").agg(F.percentile(ratio, F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.count(F.lit(1)).alias("replicates")).select("judge_id", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")
+    return filled.groupBy("judge_id").agg(F.percentile(ratio, F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.count(F.lit(1)).alias("replicates")).select("judge_id", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")
 
 
-def refitted_sums(d: Design, published: Fit, seed: int, stream: str, count: int, lam: float = 1.0) -> DataFrame:
+def bootstrap_intervals(scores: DataFrame, seed: int, stream: str, count: int, level: float = 0.95, most_clusters: int = 1_000_000) -> DataFrame:
+    """Percentile interval of each judge's pooled ratio over replicates of persons (AD21).
+
+    Tasks make the weights of all persons, up to ``most_clusters`` of them (a checked
+    bound), from the state of the one stream; nothing per person is on the driver.
+    """
+    from .graph import cut_lineage
+
+    rows, people = _placed(scores.select("person_id", "judge_id", "outcome", F.col("predicted").cast("double").alias("predicted")), most_clusters)
+    rows = _in_tasks(rows.select("place", "judge_id", "outcome", "predicted"))
+    return _intervals(cut_lineage(_replicate_sums(rows, (seed, stream, people, count))), rows, level)
+
+
+def _newton(rows: DataFrame, draws: tuple[int, str, int, int], betas: dict[int, np.ndarray], lam: float) -> dict[int, tuple[float, float, np.ndarray | None]]:
+    """Objective, gradient norm and Newton step (None where singular) of each replicate at its coefficients.
+
+    Tasks add up 1 + k + k^2 sums a replicate; these are added and solved on the executors.
+    """
+    k = len(next(iter(betas.values())))
+    free = np.ones(k)
+    free[0] = 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part = pa.Table.from_batches(held).combine_chunks()
+        place, y, at = part["place"].to_numpy(), part["outcome"].to_numpy().astype(float), _active(part)
+        x = np.zeros((len(at), k + 1))
+        np.put_along_axis(x, at % (k + 1), 1.0, axis=1)
+        x = np.ascontiguousarray(x[:, :k])
+        for r, drawn in enumerate(_draws(*draws)):
+            if r not in betas:
+                continue
+            w = drawn[place].astype(float)
+            use = np.flatnonzero(w)
+            w, xr, yr = w[use], x[use], y[use]
+            eta = xr @ betas[r]
+            p = expit(eta)
+            total = np.concatenate([[(w * (yr * eta - np.logaddexp(0, eta))).sum()], xr.T @ (w * (yr - p)), ((xr * (w * p * (1 - p))[:, None]).T @ xr).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["replicate", "sums"])
+
+    def solve(key: tuple, group: pa.Table) -> pa.Table:
+        r = key[0].as_py()
+        v = sum(np.frombuffer(s) for s in group["sums"].to_pylist())
+        penalty = lam * free * betas[r]
+        gradient, hessian = v[1 : 1 + k] - penalty, v[1 + k :].reshape(k, k) + np.diag(lam * free)
+        try:
+            np.linalg.cholesky(hessian)
+            move = np.linalg.solve(hessian, gradient).tobytes()
+        except np.linalg.LinAlgError:
+            move = None
+        return pa.table({"replicate": pa.array([r], pa.int32()), "value": pa.array([v[0] - 0.5 * float(penalty @ betas[r])]), "norm": pa.array([float(np.abs(gradient).max())]), "move": pa.array([move], pa.binary())})
+
+    found = rows.mapInArrow(run, "replicate int, sums binary").groupBy("replicate").applyInArrow(solve, "replicate int, value double, norm double, move binary")
+    return {r.replicate: (r.value, r.norm, None if r.move is None else np.frombuffer(bytes(r.move))) for r in found.collect()}
+
+
+def _refits(rows: DataFrame, draws: tuple[int, str, int, int], start: np.ndarray, lam: float, most: int = 50, tolerance: float = 1e-8, halvings: int = 30) -> dict[int, np.ndarray]:
+    """Coefficients of the replicates that converge: the steps of ``fit_logistic``, all replicates a pass."""
+    beta = {r: np.array(start, dtype=float) for r in range(draws[3])}
+    state = _newton(rows, draws, beta, lam)
+    size, steps, done = dict.fromkeys(beta, 1.0), dict.fromkeys(beta, 0), {}
+    going = set(state)
+    while True:
+        for r in list(going):
+            if state[r][1] < tolerance:
+                done[r] = beta[r]
+            if r in done or state[r][2] is None or steps[r] >= most or size[r] < 2.0**-halvings:
+                going.discard(r)
+        if not going:
+            return done
+        tried = {r: beta[r] + size[r] * state[r][2] for r in going}
+        for r, after in _newton(rows, draws, tried, lam).items():
+            if np.isfinite(after[0]) and after[0] >= state[r][0] - 1e-12 * max(1.0, abs(state[r][0])):
+                beta[r], state[r], size[r], steps[r] = tried[r], after, 1.0, steps[r] + 1
+            else:
+                size[r] /= 2
+
+
+def _refit_rows(d: Design, most_clusters: int) -> tuple[DataFrame, int]:
+    """Rows (place, judge_id, outcome, active) of a design; active: its columns that are 1, -1 for none."""
+    parts = [F.lit(0)]
+    for name, _, _ in FEATURES:
+        part = F.lit(-1)
+        for i, c in enumerate(d.columns):
+            if c.partition("=")[0] == name:
+                part = F.when(F.col(name) == c.partition("=")[2], F.lit(i)).otherwise(part)
+        parts.append(part)
+    rows, people = _placed(d.rows, most_clusters)
+    return _in_tasks(rows.select("place", "judge_id", "outcome", F.array(*parts).alias("active"))), people
+
+
+def refitted_sums(d: Design, published: Fit, seed: int, stream: str, count: int, lam: float = 1.0, most_clusters: int = 1_000_000) -> DataFrame:
     """Rows (replicate, judge_id, observed, expected) with the model fitted again in every replicate (AD20, AD21).
 
     A replicate weighs each person's events by how often the person was drawn; its fit
     starts from the published coefficients. Replicates that do not converge are left out.
     """
-    from .graph import cut_lineage
-
-    spark = d.rows.sparkSession
-    names = [n for n, _, _ in FEATURES]
-    people = [r.person_id for r in d.rows.select("person_id").distinct().collect()]  # bounded as in bootstrap_intervals
-    parts = []
-    for r, drawn in enumerate(replicate_weights(people, seed, stream, count)):
-        weights = spark.createDataFrame(list(drawn.items()), "person_id string, draws int")
-        rows = cut_lineage(d.rows.join(weights, "person_id"))
-        folded = rows.groupBy(*names).agg(F.sum("draws").cast("double").alias("n"), F.sum(F.col("outcome") * F.col("draws")).cast("double").alias("y"))
-        fit = fit_logistic(cut_lineage(folded.select(d.vector().alias("x"), "n", "y")), len(d.columns), lam, start=published.coefficients)
-        if not fit.converged:
-            continue
-        scores = scored(Design(rows, d.columns, d.labels), fit.coefficients)
-        parts.append(scores.groupBy("judge_id").agg(F.lit(r).alias("replicate"), F.sum(F.col("outcome") * F.col("draws")).alias("observed"), F.sum(F.col("predicted") * F.col("draws")).alias("expected")))
-    if not parts:
-        return spark.createDataFrame([], "judge_id string, replicate int, observed long, expected double")
-    return reduce(DataFrame.unionByName, parts)
+    rows, people = _refit_rows(d, most_clusters)
+    draws = (seed, stream, people, count)
+    return _replicate_sums(rows, draws, _refits(rows, draws, published.coefficients, lam))
 
 
 def fit_missing(frame: Frame, wanted: list[tuple[str, int | None]], known: DataFrame | None = None, lam: float = 1.0) -> list[dict]:
@@ -424,8 +551,11 @@ def ratio_drafts(table: DataFrame, intervals: DataFrame, threshold: int = 30, le
     return out
 
 
-def observed_expected(frame: Frame, target: str, window: int | None = None, replicates: int = 20, seed: int = 7) -> DataFrame:
-    """Observed-to-expected ratios of every judge of every source in the frame (AG10)."""
+def observed_expected(frame: Frame, target: str, window: int | None = None, replicates: int = REPLICATES, seed: int = 7) -> DataFrame:
+    """Observed-to-expected ratios of every judge of every source in the frame (AG10).
+
+    The model is fitted again in every replicate of the intervals.
+    """
     events = decision_events(frame) if target == "pretrial_release" else release_events(frame, target, window or 365)
     from .graph import cut_lineage
 
@@ -435,4 +565,5 @@ def observed_expected(frame: Frame, target: str, window: int | None = None, repl
     table = expectations(scores)
     rows = table.select("observed", "expected").collect()  # one row per judge
     shape = fit_shape(np.array([float(r.observed) for r in rows]), np.array([r.expected for r in rows]))
-    return ratio_drafts(pooled(table, shape), bootstrap_intervals(scores, seed, f"bootstrap:{target}:{window or 'none'}", replicates))
+    sums = cut_lineage(refitted_sums(d, fit, seed, f"bootstrap:{target}:{window or 'none'}", replicates))
+    return ratio_drafts(pooled(table, shape), _intervals(sums, table, 0.95))

@@ -115,13 +115,13 @@ def ag10(spark, sf_dir):
 @query("ag10_new_case_observed_expected")
 def ag10b(spark, sf_dir):
     """AG10 for new cases within a year."""
-    return ad.observed_expected(orders_frame(spark, sf_dir), "new_case", 365, replicates=10)
+    return ad.observed_expected(orders_frame(spark, sf_dir), "new_case", 365)
 
 
 @query("ag10_failure_to_appear_observed_expected")
 def ag10c(spark, sf_dir):
     """AG10 for failures to appear within a year."""
-    return ad.observed_expected(orders_frame(spark, sf_dir), "failure_to_appear", 365, replicates=10)
+    return ad.observed_expected(orders_frame(spark, sf_dir), "failure_to_appear", 365)
 
 
 @query("ad19_pooled_ratios", _SC + "SELECT judge_id, (20.0 + sum(outcome)) / (20.0 + round(sum(predicted), 2)) AS ratio FROM s GROUP BY ALL")
@@ -271,9 +271,9 @@ def ms22(spark, sf_dir):
 
 @query("ad21_refitted_bootstrap")
 def ad21(spark, sf_dir):
-    """AD20, AD21: two replicates with the model fitted again."""
+    """AD20, AD21: the reference's replicates with the model fitted again."""
     d, fit = _fitted(spark, sf_dir)
-    return ad.refitted_sums(d, fit, 7, "bootstrap:pretrial_release:none", 2)
+    return ad.refitted_sums(d, fit, 7, "bootstrap:pretrial_release:none", ad.REPLICATES)
 
 
 @query("ad28_model_catalogue")
