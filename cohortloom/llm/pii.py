@@ -5,8 +5,9 @@ numbers. Other words may give an entity away because they hardly ever occur with
 The corpus tells how strongly: over the words in a window around every mention, the
 disclosure of entity c by term t is the share of the information content of c that t
 carries, PMI(c; t) / IC(c), estimated from numbers of documents over the whole corpus. It
-is 1 where t occurs with c alone. Terms of enough disclosure are removed near mentions of
-c, terms of somewhat less are generalised.
+is 1 where t occurs with c alone. Terms of enough disclosure are removed wherever they
+stand in any text, terms of somewhat less are generalised: beside a masked mention or far
+from it, a term still tells what was masked.
 """
 
 from __future__ import annotations
@@ -117,23 +118,23 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _terms(mentions: DataFrame) -> DataFrame:
-    """Rows (doc_id, digest, entity, context, term, start, end) of the whole words near mentions."""
+    """Rows (doc_id, digest, entity, context, term) of the whole words near mentions."""
     word = rf"\p{{L}}{{{SHORTEST},}}+"
     full = F.length("before") == WINDOW
     before = F.when(full, F.regexp_replace("before", r"^\p{L}++", "")).otherwise(F.col("before"))
     after = F.when(F.length("after") == WINDOW, F.regexp_replace("after", r"\p{L}++$", "")).otherwise(F.col("after"))
-    sides = F.array(F.struct((F.col("start") - F.length(before)).alias("origin"), before.alias("w")), F.struct(F.col("end").alias("origin"), after.alias("w")))
-    df = mentions.select("doc_id", "digest", "entity", "context", F.inline(sides))
-    df = _fence(df.select("*", F.regexp_extract_all("w", F.lit(word), F.lit(0)).alias("m"), F.transform(F.split("w", word, -1), F.length).alias("g")).drop("w"))
-    df = df.select("doc_id", "digest", "entity", "context", "origin", "m", "g", F.posexplode("m").alias("i", "raw"))
-    gone = F.aggregate(F.slice("g", F.lit(1), F.col("i") + 1), F.lit(0), lambda s, x: s + x) + F.aggregate(F.slice("m", F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + F.length(x))
-    at = F.col("origin") + gone
-    return df.select("doc_id", "digest", "entity", "context", F.lower("raw").alias("term"), at.alias("start"), (at + F.length("raw")).alias("end"))
+    words = F.concat(F.regexp_extract_all(before, F.lit(word), F.lit(0)), F.regexp_extract_all(after, F.lit(word), F.lit(0)))
+    return mentions.select("doc_id", "digest", "entity", "context", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term"))
+
+
+def _words(text: Column) -> Column:
+    """Distinct words of a text in lower case."""
+    return F.array_distinct(F.split(F.lower(text), r"\P{L}+"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (term, in_docs): documents of the whole corpus in which each word occurs."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"\P{L}+"))
+    words = _words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return docs.select(F.explode(words).alias("term")).where(F.length("term") >= SHORTEST).groupBy("term").agg(F.count(F.lit(1)).alias("in_docs"))
 
 
@@ -155,25 +156,43 @@ def disclosures(terms: DataFrame, docs: DataFrame, text_col: str = "text", least
     return whole.where(F.col("n_c") < n).select("entity", "term", (pmi / content).alias("disclosure"))
 
 
+def _occurrences(docs: DataFrame, strong: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (of_doc, digest, added): every whole word of every text that is a term of ``strong``.
+
+    Words are joined first, without places; only texts with a term are cut into words again.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("*", F.sha2("text", 256).alias("digest"))
+    named = rows.select("doc_id", "digest", F.explode(_words(F.col("text"))).alias("term")).join(strong, "term")
+    named = named.groupBy("doc_id", "digest").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions")).withColumnRenamed("doc_id", "of_doc").withColumnRenamed("digest", "of_digest")
+    hit = rows.dropDuplicates(["doc_id", "digest"]).join(named, rows["doc_id"].eqNullSafe(named["of_doc"]) & (rows["digest"] == named["of_digest"])).select("of_doc", "digest", "actions", "text")
+    word = rf"\p{{L}}{{{SHORTEST},}}+"
+    df = _fence(hit.select("of_doc", "digest", "actions", F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("m"), F.transform(F.split("text", word, -1), F.length).alias("g")))
+    step = F.zip_with(F.slice("g", F.lit(1), F.size("m")), F.slice(F.concat(F.array(F.lit(0)), F.transform("m", F.length)), F.lit(1), F.size("m")), lambda a, b: a + b)
+    df = _fence(df.select("of_doc", "digest", "actions", "m", step.alias("w_s")))
+    df = _fence(df.select("*", _starts("w_s")[0].alias("w_s_blocks")))
+    df = _fence(df.select("of_doc", "digest", "actions", "m", _starts("w_s")[1].alias("at")))
+    item = lambda a, m: F.struct(a.cast("int").alias("start"), (a + F.length(m)).cast("int").alias("end"), F.lit(KINDS.index("term")).alias("kind"), F.lower(m).alias("value"), F.try_element_at("actions", F.lower(m)).alias("action"))
+    return df.select("of_doc", "digest", F.filter(F.zip_with("at", "m", item), lambda t: t["action"].isNotNull()).alias("added"))
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
     """Rows (doc_id, digest, spans): pattern spans and terms that disclose, one per row of ``docs``.
 
     spans is array<struct<start, end, kind, value, action>> by start and kind; action is
-    ``mask``, ``remove`` or ``generalise``. Terms that touch a pattern span are part of it
+    ``mask``, ``remove`` or ``generalise``. A term counts at every place of every text, by
+    its strongest disclosure of any entity. Terms that touch a pattern span are part of it
     already. A null text is empty and has no spans; rows that repeat id and text have equal
     spans and count as one document for a pair; an empty table gives no rows.
     """
     base = store(base_spans(docs, id_col, text_col), "spans")
     mentions = base.select("doc_id", "digest", F.inline("spans")).select(
         "doc_id", "digest", F.sha2(F.concat_ws(":", "kind", F.lower("value")), 256).alias("entity"),
-        F.xxhash64("before", "after").alias("context"), "start", "end", "before", "after",
+        F.xxhash64("before", "after").alias("context"), "before", "after",
     )
     terms = store(_terms(mentions), "terms")
-    strong = disclosures(terms, docs, text_col, least_contexts).where(F.col("disclosure") >= generalise)
-    marked = terms.join(strong, ["entity", "term"]).groupBy("doc_id", "digest", "start", "end", "term").agg(F.max("disclosure").alias("d"))
+    strong = disclosures(terms, docs, text_col, least_contexts).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("d"))
     action = F.when(F.col("d") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    item = F.struct("start", "end", F.lit(KINDS.index("term")).alias("kind"), F.col("term").alias("value"), action.alias("action"))
-    added = marked.groupBy("doc_id", "digest").agg(F.collect_list(item).alias("added")).withColumnRenamed("doc_id", "of_doc")
+    added = _occurrences(docs, store(strong.select("term", action.alias("action")), "strong"), id_col, text_col)
     own = F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"], F.lit("mask").alias("action")))
     joined = _attach(base.select("doc_id", "digest", own.alias("own")), added)
     free = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:int,value:string,action:string>>")), lambda t: ~F.exists("own", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
