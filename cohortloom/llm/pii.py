@@ -12,6 +12,8 @@ from it, a term still tells what was masked.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from .common import store
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Disclosure from which a term is removed, and from which it is generalised.
 REMOVE, GENERALISE = 0.95, 0.85
-#: Different windows in which a term must meet an entity before counts are trusted.
-LEAST_CONTEXTS = 3
+#: Largest chance at which an entity and a term that are independent would meet as often.
+CHANCE = 0.01
 #: Code points of a window on either side of a mention, and letters of the shortest term.
 WINDOW, SHORTEST = 64, 3
 
@@ -138,22 +140,30 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(words).alias("term")).where(F.length("term") >= SHORTEST).groupBy("term").agg(F.count(F.lit(1)).alias("in_docs"))
 
 
-def disclosures(terms: DataFrame, docs: DataFrame, text_col: str = "text", least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
-    """Rows (entity, term, disclosure) over terms that meet an entity in enough different windows.
+def disclosures(terms: DataFrame, docs: DataFrame, text_col: str = "text", chance: float = CHANCE) -> DataFrame:
+    """Rows (entity, term, disclosure) over terms that meet an entity more often than by chance.
 
     disclosure = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)), from numbers of documents.
+    Independent, c and t would meet in m = n(c) n(t) / N documents; k or more times at a
+    chance of at most m^k / k!, where k is the number of different windows they met in:
+    copies of a window are no further evidence. Data that occurs once is judged too, by
+    how rare its terms are.
     """
     n = docs.count()
     once = terms.select("entity", "term", "context", "digest", "doc_id").distinct()
     # Distinct windows first, then windows per pair: a hot entity is pre-aggregated twice.
     by_window = once.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_window.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_ct")).where(F.col("contexts") >= least_contexts)
+    pairs = by_window.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_ct"))
     of_entity = once.select("entity", "digest", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     whole = pairs.join(of_entity, "entity").join(document_frequencies(docs, text_col), "term")
     n_ct = F.least("n_ct", "n_c", "in_docs")
     pmi = F.log(n_ct * F.lit(float(max(n, 1))) / (F.col("n_c") * F.col("in_docs")))
     content = F.log(F.lit(float(max(n, 1))) / F.col("n_c"))
-    return whole.where(F.col("n_c") < n).select("entity", "term", (pmi / content).alias("disclosure"))
+    # Logarithms of m^k / k!; k! by ln k! >= k ln k - k, which is larger than the chance, and exact for 1.
+    met = F.least("contexts", n_ct)
+    of_k = F.when(met == 1, F.lit(0.0)).otherwise(met * F.log(met) - met)
+    likely = met * F.log(F.col("n_c") * F.col("in_docs") / F.lit(float(max(n, 1)))) - of_k
+    return whole.where((F.col("n_c") < n) & (likely <= F.lit(math.log(chance)))).select("entity", "term", (pmi / content).alias("disclosure"))
 
 
 def _occurrences(docs: DataFrame, strong: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -175,7 +185,7 @@ def _occurrences(docs: DataFrame, strong: DataFrame, id_col: str, text_col: str)
     return df.select("of_doc", "digest", F.filter(F.zip_with("at", "m", item), lambda t: t["action"].isNotNull()).alias("added"))
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
     """Rows (doc_id, digest, spans): pattern spans and terms that disclose, one per row of ``docs``.
 
     spans is array<struct<start, end, kind, value, action>> by start and kind; action is
@@ -190,7 +200,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64("before", "after").alias("context"), "before", "after",
     )
     terms = store(_terms(mentions), "terms")
-    strong = disclosures(terms, docs, text_col, least_contexts).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("d"))
+    strong = disclosures(terms, docs, text_col, chance).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("d"))
     action = F.when(F.col("d") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
     added = _occurrences(docs, store(strong.select("term", action.alias("action")), "strong"), id_col, text_col)
     own = F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"], F.lit("mask").alias("action")))

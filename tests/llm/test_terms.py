@@ -29,3 +29,20 @@ def test_terms_are_sanitised_far_from_the_mention(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert not any("zanthorius" in t.lower().split() for t in clean.values())
     assert clean[500] == rows[-1][1].replace("zanthorius;", "[REMOVED];") and clean[100] == rows[8][1]
+
+
+def test_data_that_occurs_once_has_terms(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 30)) for i in range(300)]
+    rows += [(900, f"{prose(rng)} quorvex at once@x.org {prose(rng)}"), (901, f"{prose(rng)} call +1 (784) 555-8120 {prose(rng)}")]
+    rows += [(1000 + i, f"{prose(rng)} call back {prose(rng)}") for i in range(9)]
+    found = {r.doc_id: r.spans for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {i: {s.value for s in found[i] if s.kind == 4} for i in found}
+    # The hapax beside the only mention discloses it; a word of ten texts and common words do not.
+    assert terms[900] == {"quorvex"} and terms[901] == set()
+    assert not any(terms[i] for i in terms if i != 900)
+
+
+def test_little_evidence_is_no_disclosure(spark):
+    docs = spark.createDataFrame([(1, "write to zanthorius at jo@x.org"), (2, "other words"), (3, "more text")], "doc_id long, text string")
+    assert not any(s.kind == 4 for r in pii.find_spans(docs).collect() for s in r.spans)
