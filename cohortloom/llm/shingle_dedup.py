@@ -4,7 +4,9 @@ Two shingle sets are linked where their Jaccard likeness is ``least`` or more. I
 order over all shingles, linked sets of n shingles share one among the first
 n - ceil(least n) + 1 of each (prefix filtering), so candidates meet at a shingle of
 their prefixes. Shingles that a sample shows to be common come last in the order: that
-keeps groups small and never changes the result. Candidates are compared as whole sets.
+keeps groups small and never changes the result. Candidates are compared as whole sets, those
+first left out whose sketches differ too much: a sketch holds the parity of the shingles
+in each of 2048 slots, so sets differ in as many shingles at least as sketches in bits.
 A first round compares each set with the smallest of its groups; a second compares the
 remaining pairs, those that the first has connected left out.
 """
@@ -28,6 +30,8 @@ from .sampling import bounded_sample
 SEED = 42
 #: Words in a shingle, and Jaccard likeness from which texts link.
 SHINGLE, LEAST = 5, 0.8
+#: Machine words of a sketch.
+SKETCH = 32
 #: Documents that tell which shingles are common, in how many of them, and most of these kept.
 SAMPLE, COMMON_IN, MOST_COMMON = 4096, 3, 1 << 16
 
@@ -50,20 +54,27 @@ def prefix_length(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each slot, as SKETCH longs."""
+    odd = (np.bincount((items % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def shingle_sets(docs: DataFrame, width: int, least: float, common: np.ndarray | None) -> DataFrame:
-    """Rows (doc_id, text_key, node, n, items): the prefix of each set, or all of it without ``common``.
+    """Rows (doc_id, text_key, node, n, items, sketch): the prefix of each set, or all of it without ``common``.
 
     node is a hash of the whole set: texts of equal sets are one node.
     """
-    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("items", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("items", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, items = [], [], []
+            nodes, sizes, items, sketches = [], [], [], []
             for text in texts_of(batch, "text"):
                 s = shingles(text, width)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
+                sketches.append(sketch(s))
                 if common is not None and len(s):
                     if len(common):
                         known = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
@@ -72,12 +83,13 @@ def shingle_sets(docs: DataFrame, width: int, least: float, common: np.ndarray |
                 items.append(s.view(np.int64))
             bounds = np.concatenate([[0], np.cumsum([len(i) for i in items])]).astype(np.int32)
             values = np.concatenate(items) if items else np.zeros(0, dtype=np.int64)
+            slots = pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(sketches) if sketches else values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), slots],
                 schema=out,
             )
 
-    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, node long, n int, items array<long>")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, node long, n int, items array<long>, sketch array<long>")
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -90,6 +102,11 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, least: float) -> DataFrame:
     """Links (u, v) of the pairs (u, v) whose whole sets are alike."""
+    # Alike sets of n and m shingles differ in (n + m) (1 - least) / (1 + least) at most.
+    drawn = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
+    bits = F.aggregate(F.zip_with("s", "z", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
+    pairs = pairs.join(drawn.select(F.col("node").alias("u"), "n", "s"), "u").join(drawn.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("s").alias("z")), "v")
+    pairs = store(pairs.where(bits <= (F.col("n") + F.col("m")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)).select("u", "v"), "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # One row per set that is compared, its shingles made again from one of its texts.
     keys = sets.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
@@ -120,13 +137,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near_size = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9)
     sizes = posted.select(F.col("node").alias("first"), F.col("n").alias("m")).distinct()
     stars = posted.where("node <> first").select("node", "n", "first").distinct().join(sizes, "first").where(near_size)
-    links = _linked(store(stars.select(F.col("first").alias("u"), F.col("node").alias("v")), "pairs"), docs, sets, width, least)
+    links = _linked(stars.select(F.col("first").alias("u"), F.col("node").alias("v")), docs, sets, width, least)
     of_node = connected_components(links)
     placed = posted.join(of_node, "node", "left").select("item", "node", "n", F.coalesce("component", "node").alias("c"), "first")
     other = placed.select("item", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
     rest = placed.where("node <> first").join(other.join(posted.select("item", F.col("first").alias("skip")).distinct(), "item").where("v <> skip").drop("skip"), "item")
     rest = rest.where("node < v AND c <> d").where(near_size).select(F.col("node").alias("u"), "v").distinct()
-    more = _linked(store(rest, "pairs"), docs, sets, width, least)
+    more = _linked(rest, docs, sets, width, least)
     grouped = connected_components(links.unionByName(more))
     by_node = sets.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(grouped, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     ids = by_node.groupBy("component").agg(F.min("least_id").alias("component_id"))
