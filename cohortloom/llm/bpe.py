@@ -15,8 +15,8 @@ import json
 import uuid
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import release, share_file, store, texts_of
 from .pieces import PieceCache, byte_level_pieces, once_per_worker, text_blocks
-from .sampling import bounded_sample
 
 #: Words that the lexicon holds.
-LEXICON = 100_000
-#: Documents whose words are counted for the lexicon, at most.
-SAMPLE = 4096
-#: Distinct words that a task counts before it passes them on.
-COUNTED = 200_000
+LEXICON = 200_000
+#: Distinct pieces that a task counts before it passes their words on.
+COUNTED = 100_000
 #: Characters of text that are cut and looked up at a time.
-BLOCK_CHARS = 1 << 20
-#: Pieces that a Python worker remembers with their ids.
-REMEMBERED = 1_200_000
+BLOCK_CHARS = 1 << 21
+#: Bytes of merged words that a Python worker remembers.
+REMEMBERED_BYTES = 24 << 20
 #: Symbols up to which a word is merged by scanning, beyond it with a heap.
 SCAN = 48
 #: The pattern that byte-level BPE vocabularies of this kind are split by.
@@ -241,23 +238,32 @@ class Transducer:
             step += 1
         return out
 
-    def ids_of(self, row: int) -> tuple[int, ...]:
-        """Ids of a row."""
-        return tuple(self.ids[(self.row_end[row - 1] if row else 0) : self.row_end[row]].tolist())
+    def ids_of(self, row: int) -> bytes:
+        """Ids of a row, four bytes each."""
+        return self.ids[(self.row_end[row - 1] if row else 0) : self.row_end[row]].tobytes()
 
 
 class Encoder:
-    """Ids of texts by lexicon first and exact merges for the rest."""
+    """Ids of texts by lexicon first and exact merges for the rest, as bytes, four for an id."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, remembered: int = REMEMBERED_BYTES) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-
-    def piece_ids(self, pieces: list[str]) -> list[Sequence[int]]:
-        """Ids of pieces without special tokens."""
-        words = [[w.encode("utf-8", "surrogatepass") for w in PATTERN.findall(p)] for p in pieces]
-        new = list(dict.fromkeys(w for ws in words for w in ws))
-        found = {w: self.lexicon.ids_of(r) if r >= 0 else self.vocabulary.merge(w) for w, r in zip(new, self.lexicon.rows(new).tolist())}
-        return [found[ws[0]] if len(ws) == 1 else [i for w in ws for i in found[w]] for ws in words]
+        self.merged = PieceCache(lambda words: [array("I", vocabulary.merge(w)).tobytes() for w in words], remembered)
+        self.special = {t: array("I", [i]).tobytes() for t, i in vocabulary.special.items()}
+
+    def word_ids(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words: all walk through the automaton at once, what it lacks is merged."""
+        words = list(words)
+        rows = self.lexicon.rows(words).tolist()
+        found = {w: self.lexicon.ids_of(r) for w, r in zip(words, rows) if r >= 0}
+        found.update(self.merged.values(w for w, r in zip(words, rows) if r < 0))
+        return found
+
+    def piece_ids(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces without special tokens."""
+        words = {p: [w.encode("utf-8", "surrogatepass") for w in PATTERN.findall(p)] for p in pieces}
+        found = self.word_ids(dict.fromkeys(chain.from_iterable(words.values())))
+        return {p: found[ws[0]] if len(ws) == 1 else b"".join(map(found.__getitem__, ws)) for p, ws in words.items()}
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """(text, is special) in order: special tokens are cut out before anything else."""
@@ -266,56 +272,93 @@ class Encoder:
             return [(text, False)] if text else []
         return [(t, t in self.vocabulary.special) for t in special.split(text) if t]
 
+    def encode_block(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """For each text the ids of its pieces in order; each distinct piece is looked up once."""
+        cut: list[list[tuple[str | None, list[str]]]] = []
+        for text in texts:
+            parts = []
+            for t, is_special in self.segments(text):
+                first, *rest = (t,) if is_special else byte_level_pieces(t)
+                parts.append((None, [first]) if is_special else (first, rest))
+            cut.append(parts)
+        # A later piece of a segment has its space again, the first one is as it stands.
+        later = dict.fromkeys(p for parts in cut for first, rest in parts if first is not None for p in rest)
+        whole = self.piece_ids(chain((" " + p for p in later), (first for parts in cut for first, _ in parts if first is not None)))
+        for p in later:
+            later[p] = whole[" " + p]
+        for parts in cut:
+            ids: list[bytes] = []
+            for first, rest in parts:
+                if first is None:
+                    ids += map(self.special.__getitem__, rest)
+                else:
+                    ids.append(whole[first])
+                    ids += map(later.__getitem__, rest)
+            yield ids
+
     def encode(self, text: str) -> list[int]:
         """Ids of one text."""
-        out: list[int] = []
-        for part, is_special in self.segments(text):
-            out += [self.vocabulary.special[part]] if is_special else self.piece_ids([part])[0]
-        return out
+        return array("I", b"".join(next(self.encode_block([text])))).tolist()
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (word binary, n) over all words of all texts, folded in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        first: Counter[str] = Counter()
+        later: Counter[str] = Counter()
         for batch in batches:
             for text in texts_of(batch, "text"):
-                held.update(PATTERN.findall(text))
-                if len(held) >= COUNTED:
-                    yield folded(held)
-                    held = Counter()
-        if held:
-            yield folded(held)
-
-    def folded(held: Counter[str]) -> pa.RecordBatch:
+                head, *rest = byte_level_pieces(text)
+                first[head] += 1
+                later.update(rest)
+                if len(first) + len(later) >= COUNTED:
+                    yield folded(first, later)
+        if first or later:
+            yield folded(first, later)
+
+    def folded(first: Counter[str], later: Counter[str]) -> pa.RecordBatch:
+        held: Counter[str] = Counter()
+        for pieces, space in ((first, ""), (later, " ")):
+            for piece, n in pieces.items():
+                for word in PATTERN.findall(space + piece):
+                    held[word] += n
+            pieces.clear()
         return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> str:
+def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON, text_col: str = "text") -> str:
     """Compile a lexicon, send its file to the executors, return the file's name.
 
-    It holds the ``most`` most frequent words of at most ``sample`` documents, chosen by the
-    hash of their ids. What it holds decides how fast words are encoded, never how.
+    It holds the ``most`` most frequent words of all texts. What it holds decides how fast
+    words are encoded, never how.
     """
     vocabulary = Vocabulary(path)
-    counts = store(word_counts(bounded_sample(docs, sample, id_col), text_col).where(F.length("word") <= 64), "words")
+    counts = store(word_counts(docs, text_col).where(F.length("word").between(1, 64)).where("n > 1"), "words")
     # Words of equal count are all in or all out, so at most ``most`` words are collected.
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
+    # The distinct counts above the cut are fewer than ``most`` too.
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most).collect()
     room, least = most, 1 << 62
     for row in sizes:
         if row.words > room:
             break
         room, least = room - row.words, row.n
-    blob = Transducer.compile({bytes(r.word): vocabulary.merge(bytes(r.word)) for r in counts.where(F.col("n") >= least).collect()})
+    words = counts.where(F.col("n") >= least).select("word").toArrow().column("word").to_pylist()
+    blob = Transducer.compile({w: vocabulary.merge(w) for w in words})
     release(counts)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     share_file(docs.sparkSession, blob, name)
     return name
 
 
+def worker_encoder(path: str, lexicon: str) -> Encoder:
+    """The worker's encoder: one vocabulary, one mapped lexicon, the last ones asked for."""
+    vocabulary = once_per_worker("bpe vocabulary", (path,), lambda: Vocabulary(path))
+    return once_per_worker("bpe encoder", (path, lexicon), lambda: Encoder(vocabulary, Transducer.open(SparkFiles.get(lexicon))))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one per row of ``docs``.
 
@@ -324,39 +367,21 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     again, special tokens included. A null or empty text has no ids and decodes to "".
     Repeated rows stay; null ids of documents stay null; an empty table gives no rows.
     """
-    name = build_lexicon(docs, path, lexicon_words, id_col=id_col, text_col=text_col)
+    name = build_lexicon(docs, path, lexicon_words, text_col=text_col)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = once_per_worker(("vocabulary", path), lambda: Vocabulary(path))
-        encoder = Encoder(vocabulary, once_per_worker(("lexicon", name), lambda: Transducer.open(SparkFiles.get(name))))
-        special = {t: array("I", [i]).tobytes() for t, i in vocabulary.special.items()}
-        number = once_per_worker(("numbers", path), lambda: [str(i) for i in range(max(vocabulary.bytes_of) + 1)])
-        of_id = once_per_worker(("bytes", path), lambda: [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)])
-
-        def values(prefix: str):
-            return lambda pieces: [array("I", ids).tobytes() for ids in encoder.piece_ids([prefix + p for p in pieces])]
-
-        first = once_per_worker(("first ids", path, name), lambda: PieceCache(values(""), 50_000))
-        later = once_per_worker(("ids", path, name), lambda: PieceCache(values(" "), REMEMBERED))
+        encoder = worker_encoder(path, name)
+        vocabulary = encoder.vocabulary
+        number, of_id = once_per_worker("bpe tables", (path,), lambda: ([str(i) for i in range(max(vocabulary.bytes_of) + 1)], [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)]))
         for batch in batches:
             texts = texts_of(batch, "text")
             counts: list[int] = []
             ids_sha: list[str] = []
             decoded_sha: list[str] = []
             for a, b in text_blocks(texts, BLOCK_CHARS):
-                cut = [[(None, t) if s else (byte_level_pieces(t), t) for t, s in encoder.segments(text)] for text in texts[a:b]]
-                heads = first.values(p[0] for segs in cut for p, _ in segs if p)
-                tails = later.values(chain.from_iterable(islice(p, 1, None) for segs in cut for p, _ in segs if p))
-                for segs in cut:
-                    found: list[bytes] = []
-                    for p, t in segs:
-                        if p is None:
-                            found.append(special[t])
-                        else:
-                            found.append(heads[p[0]])
-                            found += map(tails.__getitem__, islice(p, 1, None))
-                    ids = array("I", b"".join(found)).tolist()
+                for pieces in encoder.encode_block(texts[a:b]):
+                    ids = array("I", b"".join(pieces)).tolist()
                     text = b"".join(map(of_id.__getitem__, ids)).decode("utf-8", "replace")
                     counts.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest())
@@ -370,7 +395,7 @@ def token_ids(docs: DataFrame, path: str, lexicon: str, id_col: str = "doc_id",
     """Rows (doc_id, ids array<int>) with a lexicon of ``build_lexicon``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path), Transducer.open(SparkFiles.get(lexicon)))
+        encoder = worker_encoder(path, lexicon)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([encoder.encode(t) for t in texts_of(batch, "text")], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -381,7 +406,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, text) of rows (doc_id, ids); null ids decode to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = once_per_worker("bpe vocabulary", (path,), lambda: Vocabulary(path))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([vocabulary.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

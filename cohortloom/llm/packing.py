@@ -10,11 +10,14 @@ pieces there are. Packing moves only metadata: ids stay where they were made.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, texts_of
-from .pieces import PieceCache, once_per_worker
+from .pieces import PieceCache, once_per_worker, text_blocks
 from .token_counts import load_tokenizer
 
 #: Pieces that are packed together; more pieces make more groups, each packed apart.
 GROUP = 60_000
+#: Characters of text whose words are looked up at a time.
+BLOCK_CHARS = 1 << 21
 #: Separators that Python's split takes for white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r ]+")
@@ -88,40 +93,85 @@ def vector_bin_pack(demand: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarra
     return bin_of, place
 
 
-def words_of(text: str) -> list[str]:
-    """Words between white space, which the tokenizer drops; ASCII texts in lower case, as
-    it reads them (unless that could spell a special token)."""
+class WordRules(NamedTuple):
+    """How a tokenizer reads words: drops white space, so that they can be encoded apart;
+    reads them in lower case; and the first characters of its added tokens."""
+
+    apart: bool
+    lower: bool
+    marks: str
+
+
+def word_rules(path: str) -> WordRules:
+    """The rules of a tokenizer file; for files of another kind texts are encoded whole.
+
+    Words can be encoded apart where the normalizers are known, the split keeps only what is
+    not white space, and no added token holds any.
+    """
+    if not path.endswith(".json"):
+        return WordRules(False, False, "")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    listed = lambda node, many: (node or {}).get(many, [node] if node else [])
+    normal, pre = listed(spec.get("normalizer"), "normalizers"), listed(spec.get("pre_tokenizer"), "pretokenizers")
+    split = pre[0] if pre else {}
+    regex_of = split.get("pattern", {}).get("Regex", "")
+    drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert")) and "\\s" not in regex_of.replace("[^\\s", "")
+    added = spec["added_tokens"]
+    plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    known = {"NFC", "Replace", "Lowercase"}
+    apart = drops and plain and all(n["type"] in known and (n["type"] != "Replace" or n["content"] == " ") for n in normal)
+    return WordRules(apart, any(n["type"] == "Lowercase" for n in normal), "".join(sorted({t["content"][0] for t in added})))
+
+
+def words_of(text: str, rules: WordRules) -> list[str]:
+    """Words between white space; ASCII texts in lower case where the tokenizer reads them
+    so (unless that could spell an added token). Whole texts where words do not stand apart."""
+    if not rules.apart:
+        return [text]
     if _NOT_SPACE.search(text):
         return _SPACE.split(text)
-    if text.isascii() and "<|" not in text:
+    if rules.lower and text.isascii() and not any(m in text for m in rules.marks):
         text = text.lower()
     return text.split()
 
 
 def word_ids(tokenizer):
-    """A function from words without ASCII white space to their ids as bytes, four each."""
+    """A function from words to their ids as bytes, four each."""
 
-    encode = tokenizer.encode
-    return lambda words: [array("I", encode(w, add_special_tokens=False).ids).tobytes() for w in words]
+    def ids_of(words: list[str]) -> list[bytes]:
+        if hasattr(tokenizer, "encode_batch_fast"):
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", ids).tobytes() for ids in tokenizer.encode(words, num_threads=1)]
+
+    return ids_of
+
+
+def encoded_blocks(texts: list[str], rules: WordRules, ids_of: PieceCache) -> Iterator[list[bytes]]:
+    """For each text the ids of its words in order; a block's distinct words are encoded in one call."""
+    for a, b in text_blocks(texts, BLOCK_CHARS):
+        words = [words_of(t, rules) for t in texts[a:b]]
+        found = ids_of.values(chain.from_iterable(words))
+        for ws in words:
+            yield list(map(found.__getitem__, ws))
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens): texts encoded, ``end_id`` added, cut.
 
-    For word tokenizers that drop white space, so that words can be encoded apart. A null
-    or empty text is the one id ``end_id``. No shuffle; ids do not leave the function.
+    A null or empty text is the one id ``end_id``. No shuffle; ids do not leave the function.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     end = np.array([end_id], dtype="<u4").tobytes()
+    rules = word_rules(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = once_per_worker(("ids", path), lambda: PieceCache(word_ids(load_tokenizer(path))))
+        ids_of = once_per_worker("word ids", (path,), lambda: PieceCache(word_ids(load_tokenizer(path))))
         step = 4 * length
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
             rows: list[tuple] = []
-            for doc_id, text in zip(ids, texts):
-                data = b"".join(map(ids_of.__getitem__, words_of(text))) + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoded_blocks(texts_of(batch, "text"), rules, ids_of)):
+                data = b"".join(found) + end
                 rows += [(doc_id, i // 4, len(data[i : i + step]) // 4, zlib.crc32(data[i : i + step]), len(data) // 4) for i in range(0, len(data), step)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
 
@@ -131,9 +181,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096
 def pack(pieces: DataFrame, limits: Limits = Limits(), group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to rows (doc_id, start, length, loss_tokens, ...).
 
-    Pieces of full length fill a sequence each and are not moved far; all pieces are dealt
-    evenly, by the hash of their identity, to groups of about ``group`` pieces, and each
-    group is packed apart. sequence_id is unique over all groups; offset counts the tokens
+    All pieces are dealt evenly, by the hash of their identity, to groups of about ``group``
+    pieces, and each group is packed apart: a group's rows are a few numbers a piece. sequence_id is unique over all groups; offset counts the tokens
     before the piece in its sequence, without gaps. An empty table gives no rows.
     """
     groups = max(1, -(-pieces.count() // group))
@@ -161,30 +210,62 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece.
 
     In plain documents every token but a segment's first bears loss. A null or empty text
-    packs its end id alone; rows with equal or null ids are packed one by one.
+    packs its end id alone; rows with equal or null ids are packed one by one; an empty
+    table gives no rows.
     """
     longest = min(limits.tokens, limits.loss_tokens + 1)
     pieces = store(token_pieces(docs, path, end_id, longest, id_col, text_col), "pieces")
     return pack(pieces.withColumn("loss_tokens", F.col("length") - 1), limits)
 
 
-def pack_conversations(turns: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 2) -> DataFrame:
+def conversation_pieces(turns: DataFrame, path: str, limits: Limits, end_id: int = 2) -> DataFrame:
+    """Rows (doc_id, start, length, doc_tokens, loss_tokens): conversations cut to fit a sequence.
+
+    Loss is counted turn by turn: the tokens of assistant turns bear it, all others none. A
+    piece ends before it would pass the token limit or the loss limit, so none is too large.
+    Turns without a conversation are left to the conversation null; null texts are empty.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.octet_length(F.coalesce(F.col("text"), F.lit(""))))
+    sized = store(token_pieces(turns.select(key.alias("doc_id"), "text"), path, end_id, 1 << 30).select("doc_id", F.col("doc_tokens").alias("n")).distinct(), "turns")
+    each = turns.select(F.col("conv_id").cast("long").alias("doc_id"), "turn", (F.lower(F.coalesce("role", F.lit(""))) == "assistant").alias("bears"), key.alias("key"))
+    each = each.join(sized.withColumnRenamed("doc_id", "key"), "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn", "key", "n", "bears"))).alias("runs"))
+    names = ["doc_id", "start", "length", "doc_tokens", "loss_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total = sum(r["n"] for r in runs)
+                rows += [(doc_id, start, n, total, loss) for start, n, loss in cut_runs([(r["n"], r["bears"]) for r in runs], limits)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
+
+    return each.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def cut_runs(runs: list[tuple[int, bool]], limits: Limits) -> Iterator[tuple[int, int, int]]:
+    """(start, length, loss) of pieces of runs (tokens, bears loss), each within the limits."""
+    start = length = loss = 0
+    for n, bears in runs:
+        while n:
+            room = limits.tokens - length
+            if bears:
+                room = min(room, limits.loss_tokens - loss)
+            if not room:
+                yield start, length, loss
+                start, length, loss = start + length, 0, 0
+                continue
+            step = min(n, room)
+            n, length, loss = n - step, length + step, loss + step * bears
+    if length:
+        yield start, length, loss
+
+
+def pack_conversations(turns: DataFrame, path: str, limits: Limits = Limits(segments=16, loss_tokens=2048), end_id: int = 2) -> DataFrame:
     """Pack conversations (conv_id, turn, role, text): only assistant turns bear loss.
 
     Each turn is encoded apart and ended by ``end_id``; one conversation is one example,
-    its turns in order, and may be cut only where it exceeds the sequence length.
+    its turns in order, and is cut only where it passes a limit. All three limits bind here:
+    half of a sequence may bear loss. Rows (doc_id, start, length, doc_tokens, sequence_id,
+    offset); repeated turns count as often as they occur; an empty table gives no rows.
     """
-    each = store(
-        token_pieces(turns.select(F.xxhash64("conv_id", "turn", "role", "text").alias("doc_id"), "text"), path, end_id, 1 << 30).distinct(), "turns"
-    )
-    sized = turns.select("conv_id", F.xxhash64("conv_id", "turn", "role", "text").alias("doc_id"), "role").join(each, "doc_id")
-    loss = F.when(F.lower("role") == "assistant", F.col("length")).otherwise(0)
-    examples = sized.groupBy("conv_id").agg(F.sum("length").alias("n"), F.sum(loss).alias("loss"))
-    step = F.lit(limits.tokens)
-    cut = examples.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step.cast("long"))))
-    length = F.least(step.cast("long"), F.col("n") - F.col("start"))
-    pieces = cut.select(
-        F.col("conv_id").alias("doc_id"), "start", length.alias("length"), F.col("n").alias("doc_tokens"),
-        F.least(length, F.ceil(F.col("loss") * length / F.col("n"))).cast("long").alias("loss_tokens"),
-    )
-    return pack(store(pieces, "turns"), limits)
+    return pack(store(conversation_pieces(turns, path, limits, end_id), "conversations"), limits)

@@ -1,9 +1,9 @@
-"""Safe pieces of texts and a bounded cache over them, for the tokenizer operators.
+"""Safe pieces of texts and byte-bounded memory for them, for the tokenizer operators.
 
 A byte-level tokenizer splits before a space that stands between two characters that
 are not white space, whatever surrounds them, so a text may be cut there and its
-pieces encoded apart. Words repeat far more than texts do: each task keeps what it has
-found for a bounded number of short pieces.
+pieces encoded apart. Words repeat within a block of texts far more than texts do, so
+each block looks its distinct pieces up once.
 """
 
 from __future__ import annotations
@@ -13,18 +13,26 @@ from collections.abc import Callable, Iterable, Iterator
 
 #: A single space between two characters that are not white space.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces that a Python worker remembers, and the characters up to which it does.
-CACHE = 1_500_000
+#: Bytes of pieces and values that a Python worker remembers, about.
+REMEMBERED_BYTES = 32 << 20
+#: Bytes that an entry takes beside its characters: two objects and a place in a table.
+ENTRY_BYTES = 190
+#: Characters up to which a piece is remembered.
 SHORT = 48
-#: What a worker has made so far, by key: it serves many tasks.
-_made: dict[tuple, object] = {}
+#: What a worker has made last, by purpose: it serves many tasks.
+_made: dict[str, tuple[tuple, object]] = {}
 
 
-def once_per_worker(key: tuple, make: Callable[[], object]):
-    """What ``make`` returns, made once in a Python worker and kept for its later tasks."""
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
+def once_per_worker(purpose: str, key: tuple, make: Callable[[], object]):
+    """What ``make`` returns, kept for a worker's later tasks until the purpose has another key.
+
+    A worker holds one thing for each purpose, so what earlier runs left behind goes.
+    """
+    held = _made.get(purpose)
+    if held is None or held[0] != key:
+        _made.pop(purpose, None)
+        held = _made[purpose] = key, make()
+    return held[1]
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -35,36 +43,27 @@ def byte_level_pieces(text: str) -> list[str]:
 class PieceCache(dict):
     """Values of short pieces in two generations: a full young one becomes the old one.
 
-    Reading a piece that neither holds computes it; a piece of the old generation moves to
-    the young one, so frequent pieces stay however many rare ones pass. Long pieces are
-    computed each time.
+    Each generation holds half of ``most_bytes``. A piece of the old generation that is asked
+    for moves to the young one, so frequent pieces stay however many rare ones pass.
     """
 
-    def __init__(self, values_of: Callable[[list[str]], list], most: int = CACHE) -> None:
+    def __init__(self, values_of: Callable[[list], list], most_bytes: int = REMEMBERED_BYTES) -> None:
         super().__init__()
-        self.values_of, self.half, self.old = values_of, max(1, most // 2), {}
+        self.values_of, self.half, self.used, self.old = values_of, most_bytes // 2, 0, {}
 
-    def keep(self, piece: str, value: object) -> None:
-        """Remember one value."""
-        if len(self) >= self.half:
+    def keep(self, piece, value) -> None:
+        """Remember one value, unless its piece is long."""
+        if len(piece) > SHORT:
+            return
+        if self.used >= self.half:
             self.old = dict(self)
             self.clear()
+            self.used = 0
         self[piece] = value
+        self.used += ENTRY_BYTES + len(piece) + (len(value) if hasattr(value, "__len__") else 0)
 
-    def __missing__(self, piece: str):
-        value = self.old.get(piece)
-        if value is None:
-            value = self.values_of([piece])[0]
-        if len(piece) <= SHORT:
-            self.keep(piece, value)
-        return value
-
-    def values(self, pieces: Iterable[str]) -> dict:
-        """A small dictionary of the pieces' values; those not remembered are computed in one call.
-
-        Most pieces of a block repeat within it, so they are found in a table that fits the
-        processor's caches, and the large one is asked once for each.
-        """
+    def values(self, pieces: Iterable) -> dict:
+        """A dictionary of the distinct pieces' values; those not remembered are computed in one call."""
         found = dict.fromkeys(pieces)
         young, old, new = self.get, self.old.get, []
         for p in found:
@@ -78,8 +77,7 @@ class PieceCache(dict):
             found[p] = value
         for p, value in zip(new, self.values_of(new)):
             found[p] = value
-            if len(p) <= SHORT:
-                self.keep(p, value)
+            self.keep(p, value)
         return found
 
 

@@ -45,6 +45,18 @@ def test_counts_of_a_sentencepiece_model(spark, docs):
     assert got == {i: len(p.encode(t or "")) for i, t in enumerate(TEXTS) if i}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_long_texts_are_split_at_safe_places(name):
+    path = public_tokenizers.path(name)
+    t, places = token_counts.load_tokenizer(path), token_counts.safe_places(path)
+    texts = [x * 3 for x in TEXTS if x] + ["it's12ab,cd 'll9 <|endoftext|>x1<|endoftext|> it's'd 7.5k a_b\t c" * 5]
+    for text in texts:
+        for most in (1, 3, 10, 50):
+            parts = token_counts.parts_of(text, places, most)
+            assert sum(token_counts.encode_lengths(t, parts, 20)) == token_counts.encode_lengths(t, [text])[0], (text, most)
+    assert len(token_counts.parts_of("word " * 1000, places, 100)) > 40
+
+
 def test_encode_and_decode(spark, docs):
     t = library(BYTE)
     got = {(r.doc_id, r.n_tokens): (r.ids_sha256, r.decoded_sha256) for r in bpe.encode(docs, BYTE, lexicon_words=50).collect()}
@@ -66,7 +78,7 @@ def test_transducer_is_a_perfect_numbering():
     blob = bpe.Transducer.compile(entries)
     fst = bpe.Transducer(np.frombuffer(blob, dtype=np.uint8))
     assert fst.rows(words).tolist() == list(range(len(words)))
-    assert [fst.ids_of(i) for i in range(len(words))] == [entries[w] for w in words]
+    assert [tuple(np.frombuffer(fst.ids_of(i), dtype="<i4").tolist()) for i in range(len(words))] == [entries[w] for w in words]
     assert fst.rows([b"ta", b"tapss", b"zzz", b"w300s"]).tolist() == [-1] * 4
     assert len(fst.final) < sum(map(len, words))  # suffixes are shared
 
@@ -112,6 +124,27 @@ def test_vector_bins_keep_every_limit():
         packing.vector_bin_pack(np.array([[65, 1, 0]]), capacity)
 
 
+def test_cut_conversations_keep_every_limit(spark):
+    say = lambda n: " ".join(["word"] * n)
+    rows = [(c, k, "assistant" if k % 2 else "user", say(3 + (7 * c + 5 * k) % 40)) for c in range(30) for k in range(c % 9 + 1)] + [(50, 0, "assistant", say(300)), (None, 0, None, "hi"), (51, 0, "user", None), (51, 0, "user", None)] + [(c, 0, "user", "hi") for c in range(60, 90)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    limits = packing.Limits(64, 4, 30)
+    pieces = {(r.doc_id, r.start): r for r in packing.conversation_pieces(turns, WORD, limits).collect()}
+    t = library(WORD)
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in pieces.values() if r.doc_id == c), key=lambda r: r.start)
+        bears = [b for _, _, role, text in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]) for b in [role == "assistant"] * (len(t.encode(text or "", add_special_tokens=False).ids) + 1)]
+        assert [r.start for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and own[-1].start + own[-1].length == own[0].doc_tokens == len(bears)
+        assert all(r.loss_tokens == sum(bears[r.start : r.start + r.length]) <= 30 for r in own)
+    by_bin = {}
+    for r in packing.pack_conversations(turns, WORD, limits).collect():
+        by_bin.setdefault(r.sequence_id, []).append(r)
+    assert sum(map(len, by_bin.values())) == len(pieces)
+    full = [[sum(r.length for r in own), len(own), sum(pieces[r.doc_id, r.start].loss_tokens for r in own)] for own in by_bin.values()]
+    assert all(a <= 64 and b <= 4 and c <= 30 for a, b, c in full)
+    assert max(f[1] for f in full) == 4 and max(f[2] for f in full) == 30  # both limits bind
+
+
 def test_conversations_bear_loss_on_assistant_turns(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "good day to you"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
     rows = packing.pack_conversations(turns, WORD).collect()
