@@ -1,20 +1,26 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Each task turns its rows into sorted runs of (digest, identifier to keep, copies), equal
-digests already folded. Slots then exchange runs in rounds: in round k the slots that
-differ in their k-th base-``fan_in`` digit trade records so that each ends with the
-digests whose k-th digit is its own (with a fan-in of two, the binomial exchange of a
-hypercube). A slot merges the runs it receives in digest order and folds equal digests
-again, so a text with a third of all rows is one record per task before the first
-exchange, and no slot ever gathers more than its share of distinct digests.
+Each task folds its rows into sorted runs of (digest, byte length, identifier to keep,
+copies). A run is one row that holds its records as bytes, so a shuffle moves whole runs
+and keeps their order. Slots then exchange runs in rounds: in round k a slot cuts its run
+into ``fan_in`` runs by the k-th base-``fan_in`` digit of each digest's final slot and sends
+each to the slot that differs from it in that digit alone; what arrives is merged with a
+heap, equal digests folded. With a fan-in of two this is the binomial exchange of a
+hypercube; sixteen does four of its rounds in one, so that the distinct digests cross the
+network once where they would cross it four times. A text with a third of all rows is one
+record per task before the first exchange, and no slot ever gathers more than its share of
+distinct digests.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,8 +30,10 @@ from .common import store, texts_of
 
 #: Slots that trade runs with one another in one round.
 FAN_IN = 16
-#: Records that a task folds before it closes a run.
+#: Records that a task folds before it closes a run, and records of a run's row at most.
 RUN = 200_000
+#: A record of a run; has_keep tells a null identifier from any number.
+RECORD = np.dtype([("digest", "V32"), ("n_bytes", "<i8"), ("keep_id", "<i8"), ("has_keep", "?"), ("group_size", "<i8")])
 
 
 def normalised(text: str | None) -> bytes:
@@ -58,8 +66,84 @@ def _better(a: int | None, b: int | None, largest: bool) -> int | None:
     return max(a, b) if largest else min(a, b)
 
 
-def _runs(slots: int, largest: bool):
-    """Sorted runs of one task, equal digests folded."""
+#: A record in Python: (digest, n_bytes, keep_id, group_size).
+_Record = tuple[bytes, int, int | None, int]
+
+
+def pack_run(records: list[_Record]) -> bytes:
+    """The bytes of a run."""
+    out = np.zeros(len(records), dtype=RECORD)
+    if records:
+        digest, n_bytes, keep, size = zip(*records)
+        out["digest"] = np.frombuffer(b"".join(digest), dtype="V32")
+        out["n_bytes"], out["group_size"] = n_bytes, size
+        out["has_keep"] = [k is not None for k in keep]
+        out["keep_id"] = [k or 0 for k in keep]
+    return out.tobytes()
+
+
+def unpack_run(data: bytes) -> Iterator[_Record]:
+    """Records of a run, a bounded number of them at a time."""
+    rows = np.frombuffer(data, dtype=RECORD)
+    for i in range(0, len(rows), 4096):
+        part = rows[i : i + 4096]
+        digests = part["digest"].tobytes()
+        for k, (n, keep, has, size) in enumerate(zip(*(part[c].tolist() for c in ("n_bytes", "keep_id", "has_keep", "group_size")))):
+            yield digests[32 * k : 32 * k + 32], n, keep if has else None, size
+
+
+def merge_runs(runs: Iterable[Iterator[_Record]], largest: bool) -> Iterator[_Record]:
+    """Merge sorted runs; records are one only if whole digests and byte lengths agree."""
+    last: _Record | None = None
+    for record in heapq.merge(*runs, key=lambda r: r[:2]):
+        if last is not None and last[:2] == record[:2]:
+            last = (*last[:2], _better(last[2], record[2], largest), last[3] + record[3])
+        else:
+            if last is not None:
+                yield last
+            last = record
+    if last is not None:
+        yield last
+
+
+def _home(digest: bytes, slots: int) -> int:
+    """The slot in which a digest ends."""
+    return int.from_bytes(digest[:6], "big") % slots
+
+
+class _Outbox:
+    """Runs to the slots that one slot trades with in a round, sent when they reach RUN records."""
+
+    def __init__(self, slot: int, slots: int, fan_in: int, place: int) -> None:
+        self.slot, self.slots, self.fan_in, self.place = slot, slots, fan_in, place
+        self.held: dict[int, list[_Record]] = {}
+
+    def add(self, record: _Record) -> pa.RecordBatch | None:
+        """Take a record; a full run comes out."""
+        digit = _home(record[0], self.slots) // self.place % self.fan_in
+        to = self.slot + (digit - self.slot // self.place % self.fan_in) * self.place
+        run = self.held.setdefault(to, [])
+        run.append(record)
+        return self._send(to) if len(run) >= RUN else None
+
+    def _send(self, to: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([pack_run(self.held.pop(to))], pa.binary())], names=["slot", "run"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """The runs that are left."""
+        for to in list(self.held):
+            yield self._send(to)
+
+    def send(self, records: Iterable[_Record]) -> Iterator[pa.RecordBatch]:
+        """Runs of sorted records, all of them."""
+        for record in records:
+            if full := self.add(record):
+                yield full
+        yield from self.rest()
+
+
+def _leaves(slots: int, fan_in: int, largest: bool):
+    """Sorted runs of one task, equal digests folded, cut for the first round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = TaskContext.get().partitionId() % slots
@@ -69,79 +153,50 @@ def _runs(slots: int, largest: bool):
                 old = held.get((digest, n_bytes))
                 held[digest, n_bytes] = (doc_id, 1) if old is None else (_better(old[0], doc_id, largest), old[1] + 1)
             if len(held) >= RUN:
-                yield _batch(slot, held)
+                yield from _Outbox(slot, slots, fan_in, 1).send((*k, *held[k]) for k in sorted(held))
                 held = {}
-        if held:
-            yield _batch(slot, held)
+        yield from _Outbox(slot, slots, fan_in, 1).send((*k, *held[k]) for k in sorted(held))
 
     return run
 
 
-def _batch(slot: int, held: dict[tuple[bytes, int], tuple[int | None, int]]) -> pa.RecordBatch:
-    order = sorted(held)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([slot] * len(order), pa.int32()),
-            pa.array([k[0] for k in order], pa.binary()),
-            pa.array([k[1] for k in order], pa.int64()),
-            pa.array([held[k][0] for k in order], pa.int64()),
-            pa.array([held[k][1] for k in order], pa.int64()),
-        ],
-        names=["slot", "digest", "n_bytes", "keep_id", "group_size"],
-    )
-
-
-def _merge(largest: bool):
-    """Merge the runs of each slot, which arrive in digest order, folding equal digests.
+def _exchange(slots: int, fan_in: int, place: int, largest: bool):
+    """Merge the runs that a slot received and cut the result for the round of ``place``.
 
-    Two records are one group only if their whole digests and byte lengths agree; the
-    order of the shuffle alone is never trusted.
+    In the last round (``place`` reaches the number of slots) the records come out as rows.
     """
-    names = ["slot", "digest", "n_bytes", "keep_id", "group_size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list | None = None
+        received: dict[int, list[bytes]] = {}
         for batch in batches:
-            rows: list[list] = []
-            for record in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if last is not None and last[:3] == list(record[:3]):
-                    last[3] = _better(last[3], record[3], largest)
-                    last[4] += record[4]
-                else:
-                    if last is not None:
-                        rows.append(last)
-                    last = list(record)
-            if rows:
-                yield _records(rows, names)
-        if last is not None:
-            yield _records([last], names)
+            for slot, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                received.setdefault(slot, []).append(data)
+        for slot in sorted(received):
+            merged = merge_runs([unpack_run(data) for data in received.pop(slot)], largest)
+            if place < slots:
+                yield from _Outbox(slot, slots, fan_in, place).send(merged)
+            else:
+                while rows := list(islice(merged, RUN)):
+                    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "n_bytes", "keep_id", "group_size"])
 
     return run
 
 
-def _records(rows: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-
 def merge_tree(each: DataFrame, leaves: int, fan_in: int = FAN_IN, largest: bool = True) -> DataFrame:
-    """Rows (digest, n_bytes, keep_id, group_size), one per distinct digest of ``each``."""
-    rounds = max(1, math.ceil(math.log(max(2, leaves), fan_in)))
+    """Rows (digest, n_bytes, keep_id, group_size), one per distinct digest of ``each``.
+
+    A slot holds the packed runs it received in a round: its share of the distinct digests,
+    about 60 bytes each; more ``leaves`` make the shares smaller.
+    """
+    rounds = max(1, math.ceil(math.log(max(2, leaves), fan_in) - 1e-9))
     slots = fan_in**rounds
-    schema = "slot int, digest binary, n_bytes long, keep_id long, group_size long"
-    runs = each.select("doc_id", "digest", "n_bytes").mapInArrow(_runs(slots, largest), schema)
-    # Four leading bytes of the digest choose the final slot, one base-fan_in digit a round.
-    home = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(slots))
-    for k in range(rounds):
-        place = fan_in**k
-        digit = lambda c: F.pmod(F.floor(c / F.lit(place)), F.lit(fan_in))
-        runs = (
-            runs.withColumn("slot", (F.col("slot") + (digit(home) - digit(F.col("slot"))) * F.lit(place)).cast("int"))
-            .repartition(min(slots, max(leaves, fan_in)), "slot")
-            .sortWithinPartitions("slot", "digest", "n_bytes")
-            .mapInArrow(_merge(largest), schema)
-        )
-    return runs.drop("slot")
+    runs = each.select("doc_id", "digest", "n_bytes").mapInArrow(_leaves(slots, fan_in, largest), "slot int, run binary")
+    for k in range(1, rounds + 1):
+        last = k == rounds
+        schema = "digest binary, n_bytes long, keep_id long, group_size long" if last else "slot int, run binary"
+        runs = runs.repartition(min(slots, max(leaves, fan_in)), "slot").mapInArrow(_exchange(slots, fan_in, fan_in**k, largest), schema)
+    return runs
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, fan_in: int = FAN_IN) -> DataFrame:
