@@ -3,8 +3,9 @@
 Pages are first written as whole-file gzip streams of WARC records, as many crawlers leave
 them. The normaliser inflates each such file once, in bounded steps, rewrites every record
 as a gzip member of its own, and writes a sidecar index with the place of every member, so
-that one record can later be read alone. Archives hold a bounded number of payload bytes.
-All files go through Spark's readers and writers, so any shared store will do.
+that one record can later be read alone. Archives hold about ARCHIVE_BYTES of payload.
+All files go through Spark's readers and writers, so any shared store will do; a task has
+the compressed bytes of one archive in memory, never the inflated ones.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _remove, new_path, store
+from .common import _remove, new_path, release, store
 
 #: Payload bytes that an archive holds, about.
-ARCHIVE_BYTES = 24 << 20
+ARCHIVE_BYTES = 128 << 20
+#: Bytes of members that the normaliser gathers before it passes them on.
+CHUNK = 4 << 20
 #: Bytes from which equal payloads are stored once.
 LEAST_BYTES = 0
 #: Bytes inflated at a time.
@@ -133,24 +136,38 @@ def parse(content: bytes) -> dict:
     return out
 
 
-def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Rows (page_id, refers_to) of the pages whose payload a page of larger id repeats."""
-    each = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest")).where(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes)
-    groups = each.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return each.join(groups, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+def payloads(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, digest, n_bytes): SHA-256 and size of each page's payload."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
 
 
-def write_monolithic(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write pages (page_id, url, html) as WARC files, each one gzip stream.
+def revisits(sized: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """Rows (page_id, digest, refers_to) of the payloads that a page of larger id repeats.
+
+    A page is told by its id and payload together, so pages that share an id stay apart.
+    """
+    each = sized.where(F.col("n_bytes") >= least_bytes)
+    groups = each.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return each.join(groups, ["digest", "n_bytes"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+
+
+def write_monolithic(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> int:
+    """Write pages (page_id, url, html) as WARC files, each one gzip stream; their number.
 
     A null html is an empty payload. Of equal payloads the page of largest id is the
-    response. Pages without an id are always responses; rows that repeat a page are
-    written again.
+    response. Pages without an id are always responses; rows that repeat page and payload
+    are written again, a repeated largest one as response each time. Without pages nothing
+    is written.
     """
-    pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    total = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    archives = max(1, -(-int(total) // archive_bytes))
-    again = store(revisits(pages, least_bytes), "revisits")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"))
+    sized = store(payloads(pages), "payloads")
+    total = sized.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("bytes")).first()
+    if not total.rows:
+        release(sized)
+        return 0
+    archives = max(1, -(-int(total.bytes) // archive_bytes))
+    again = store(revisits(sized, least_bytes), "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,16 +176,20 @@ def write_monolithic(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(4)], names=["record", "archive"])
 
     (
-        pages.join(again, "page_id", "left")
+        pages.withColumn("digest", F.sha2(F.coalesce(F.col("html").cast("string"), F.lit("")), 256))
+        .join(again, ["page_id", "digest"], "left")
         .select("page_id", "url", "html", "refers_to", F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)).cast("int").alias("archive"))
         .mapInArrow(run, "record binary, archive int")
-        .repartition(archives, "archive")
+        .repartitionById(archives, F.col("archive"))
         .select(F.col("record").cast("string").alias("value"), "archive")
         .write.partitionBy("archive")
         .option("compression", "gzip")
         .option("lineSep", END_OF_RECORD.decode())
         .text(path)
     )
+    release(sized)
+    release(again)
+    return archives
 
 
 def normalise(spark: SparkSession, source: str, path: str) -> None:
@@ -176,29 +197,38 @@ def normalise(spark: SparkSession, source: str, path: str) -> None:
 
     For every archive there are ``archive=N/kind=warc`` (each record a gzip member) and
     ``archive=N/kind=index`` (gzip text: page_id, offset, length, record type of each
-    member, by tabs); an empty member ends each file.
+    member, by tabs). Both leave the function in chunks, each ended by an empty member,
+    which readers pass over and offsets count.
     """
+    names = ["data", "archive", "kind", "seq"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
+                archive, place, seq = batch.column(0)[i].as_py(), 0, 0
                 out, lines = bytearray(), []
+
+                def chunk() -> pa.RecordBatch:
+                    index = _member("".join(lines).encode())
+                    return pa.RecordBatch.from_arrays([pa.array([bytes(out), index], pa.binary()), pa.array([archive] * 2, pa.int32()), pa.array(["warc", "index"]), pa.array([seq] * 2, pa.int32())], names=names)
+
                 for content in split_records(batch.column(1)[i].as_py()):
-                    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    member = engine.compress(content) + engine.flush()
-                    found = parse(content)
-                    lines.append(f"{'' if found['page_id'] is None else found['page_id']}\t{len(out)}\t{len(member)}\t{found['record_type']}\n")
+                    member, found = _member(content), parse(content)
+                    lines.append(f"{'' if found['page_id'] is None else found['page_id']}\t{place + len(out)}\t{len(member)}\t{found['record_type']}\n")
                     out += member
-                engine = zlib.compressobj(6, zlib.DEFLATED, 31)
-                index = engine.compress("".join(lines).encode()) + engine.flush()
-                archive = batch.column(0)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([bytes(out), index], pa.binary()), pa.array([archive] * 2, pa.int32()), pa.array(["warc", "index"])], names=["data", "archive", "kind"])
+                    if len(out) >= CHUNK:
+                        yield chunk()
+                        place, seq = place + len(out) + len(EMPTY_MEMBER), seq + 1
+                        out, lines = bytearray(), []
+                yield chunk()
 
     (
         spark.read.format("binaryFile").load(source)
         .select(F.col("archive").cast("int"), "content")
-        .mapInArrow(run, "data binary, archive int, kind string")
-        .select(F.col("data").cast("string").alias("value"), "archive", "kind")
+        .mapInArrow(run, "data binary, archive int, kind string, seq int")
+        .select(F.col("data").cast("string").alias("value"), "archive", "kind", "seq")
+        .sortWithinPartitions("archive", "kind", "seq")
+        .drop("seq")
         .write.partitionBy("archive", "kind")
         .option("encoding", "ISO-8859-1")
         .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
@@ -206,6 +236,12 @@ def normalise(spark: SparkSession, source: str, path: str) -> None:
     )
 
 
+def _member(content: bytes) -> bytes:
+    """One gzip member."""
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return engine.compress(content) + engine.flush()
+
+
 def _files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.col("kind") == kind).select(F.col("archive").cast("int"), "content")
 
@@ -225,51 +261,62 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "index").mapInArrow(run, "archive int, page_id long, offset long, length long, record_type string")
 
 
-def read_members(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Rows (archive, offset, length, page_id, payload_bytes, payload_digest, record_type,
-    refers_to, payload) of all members; the payload is null unless asked for."""
-    kinds = {"archive": pa.int32(), "offset": pa.int64(), "length": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+def _places(spark: SparkSession, path: str, wanted: DataFrame | None) -> DataFrame:
+    """Rows (places, content): an archive's bytes and the index rows asked of it."""
+    index = wanted if wanted is not None else read_index(spark, path)
+    places = index.groupBy("archive").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("places"))
+    return _files(spark, path, "warc").join(places.hint("shuffle_hash"), "archive").select("places", "content")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes]]]:
+    """(page_id, record) of every place, some at a time: cut out by offset and length, and
+    only what was cut out is inflated."""
+    for batch in batches:
+        for places, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            whole = memoryview(data.as_buffer())
+            for i in range(0, len(places), 256):
+                yield [(p["page_id"], zlib.decompress(whole[p["offset"] : p["offset"] + p["length"]], 31)) for p in places[i : i + 256]]
+
+
+def read_records(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows (page_id, record binary) of the index rows ``wanted`` (columns of ``read_index``),
+    of all of them without it.
+
+    Places are gathered by archive, whose size is bounded, and meet the archive's bytes there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, data in zip(batch.column(0), batch.column(1)):
-                rows = []
-                for offset, length, content in members(data.as_py()):
-                    rows.append({"archive": archive.as_py(), "offset": offset, "length": length} | parse(content))
-                    if not payloads:
-                        rows[-1]["payload"] = None
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()], names=list(kinds))
+        for found in _records(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([r for _, r in found], pa.binary())], names=["page_id", "record"])
 
-    return _files(spark, path, "warc").mapInArrow(run, "archive int, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return _places(spark, path, wanted).mapInArrow(run, "page_id long, record binary")
 
 
-def read_records(spark: SparkSession, path: str, page_ids: list[int]) -> DataFrame:
-    """Rows (page_id, record binary) of a few pages: only their members are inflated."""
-    wanted = read_index(spark, path).where(F.col("page_id").isin(page_ids)).groupBy("archive").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("places"))
+def read_pages(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of the same records,
+    parsed where they are read."""
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for places, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = data.as_py()
-                found = [(p["page_id"], zlib.decompress(whole[p["offset"] : p["offset"] + p["length"]], 31)) for p in places]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["page_id", "record"])
+        for found in _records(batches):
+            rows = [parse(r) for _, r in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()], names=list(kinds))
 
-    return _files(spark, path, "warc").join(wanted, "archive").select("places", "content").mapInArrow(run, "page_id long, record binary")
+    return _places(spark, path, wanted).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write pages, normalise the archives, and return their records as read back.
 
     Rows (page_id, payload_bytes, payload_digest, record_type, refers_to), one per row of
-    ``pages``: every entry of the index with the member that begins at its place. Size and
-    digest are those of the full payload, for revisits too. An empty table gives no rows.
+    ``pages``: every entry of the index with the record that lies at its place. Size and
+    digest are those of the full payload, for revisits too. Pages that share an id are told
+    by their payloads; pages without an id are responses. An empty table gives no rows.
     """
     spark = pages.sparkSession
     whole, path = new_path(spark, "warc-whole"), path or new_path(spark, "warc")
-    write_monolithic(pages, whole, least_bytes, archive_bytes)
-    if pages.isEmpty():
+    if not write_monolithic(pages, whole, least_bytes, archive_bytes):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     normalise(spark, whole, path)
     _remove(spark, whole)
-    index = read_index(spark, path).select("archive", "offset", "length")
-    return index.join(read_members(spark, path), ["archive", "offset", "length"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_pages(spark, path)

@@ -109,13 +109,26 @@ def test_pages_round_trip(spark):
         keep = None if i is None else max(j for j, g in enumerate(html) if (g or "") == (h or ""))
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode())
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if keep in (None, i) else ("revisit", keep))
-    (one,) = warc.read_records(spark, path, [4]).collect()
+    index = warc.read_index(spark, path)
+    (one,) = warc.read_records(spark, path, index.where("page_id = 4")).collect()
     assert warc.parse(bytes(one.record))["payload"] == html[4].encode()
-    index = warc.read_index(spark, path).collect()
+    index = index.collect()
     assert len(index) == len(rows) and {r.record_type for r in index} == {"response", "revisit"}
     assert warc.archive_pages(pages.limit(0)).collect() == []
 
 
+def test_pages_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 200)  # several chunks an archive
+    rows = [(5, "A"), (5, "B"), (9, "A"), (12, "B"), (7, "C"), (7, "A"), (9, "A"), (None, "A")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc.archive_pages(pages).collect())
+    want = []
+    for i, h in rows:
+        keep = max(j for j, g in rows if g == h and j)
+        want.append((i or 0, warc.payload_digest(h.encode()), *(("response", 0) if i in (None, keep) else ("revisit", keep))))
+    assert got == sorted(want)
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.archive_pages(pages, least_bytes=4).collect()}
