@@ -7,6 +7,7 @@ executor shares, so a lost executor never loses a finished step.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,11 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
+    """The shared folder of the session; a temporary one only in a local session without any.
+
+    On a cluster executors would not see a temporary folder of the driver, so there the
+    setting must be there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='loom-')}"
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loom-')}")
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 

@@ -55,3 +55,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         edges = after
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
+
+
+def named_components(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """Rows (``node``, component_id) for every row of ``nodes`` (``node``, least_id).
+
+    component_id is the smallest least_id, other than null, of the nodes that links (u, v)
+    connect; null where there is none. A large component is pre-aggregated in the minimum.
+    """
+    grouped = connected_components(links).select(F.col("node").alias(node), "component")
+    placed = nodes.select(node, "least_id").join(grouped, node, "left")
+    linked = placed.where("component IS NOT NULL")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return linked.join(least, "component").select(node, "component_id").unionAll(placed.where("component IS NULL").select(node, F.col("least_id").alias("component_id")))

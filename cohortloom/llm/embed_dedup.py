@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_starts, spanning_labels, store, whole_groups
-from .components import connected_components
+from .common import group_starts, release, spanning_labels, store, whole_groups
+from .components import named_components
 from .sampling import bounded_sample
 
 #: Cosine from which vectors of one label link.
@@ -67,11 +67,11 @@ def _matrix(raw: list[bytes]) -> np.ndarray:
 
 
 def principal_directions(vectors: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE) -> np.ndarray:
-    """Leading directions of at most ``sample`` vectors, chosen by the hash of the id.
+    """Leading directions of at most ``sample`` vectors, chosen by the hash of their class.
 
     Any orthonormal directions give right results; these prune best.
     """
-    rows = bounded_sample(vectors, sample, "vec_id").orderBy("vec_id").select("raw").collect()
+    rows = bounded_sample(vectors, sample, "class").orderBy("class").select("raw").collect()
     if not rows:
         return np.zeros((0, 0))
     x = _matrix([bytes(r.raw) for r in rows])
@@ -81,7 +81,7 @@ def principal_directions(vectors: DataFrame, dimensions: int = DIMENSIONS, sampl
 
 
 def grid_order(vectors: DataFrame, directions: np.ndarray, epsilon: float, interval: int = INTERVAL) -> DataFrame:
-    """Rows (block, seq, label, vec_id, copies, raw, box_low, box_high) in epsilon grid order.
+    """Rows (block, seq, label, node, copies, raw, box_low, box_high) in epsilon grid order.
 
     block numbers the intervals: at most ``interval`` vectors of one label that follow one
     another in the order of label, cells and projections. The box is the interval's.
@@ -97,7 +97,7 @@ def grid_order(vectors: DataFrame, directions: np.ndarray, epsilon: float, inter
             cell = np.floor(p / epsilon).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(list(p), pa.list_(pa.float64())), *[pa.array(cell[:, i]) for i in range(k)]],
-                names=["vec_id", "label", "raw", "copies", "at", *cells],
+                names=["node", "label", "raw", "copies", "at", *cells],
             )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +121,8 @@ def grid_order(vectors: DataFrame, directions: np.ndarray, epsilon: float, inter
                 n = rows.num_rows
                 low, high = at[a:b].min(axis=0), at[a:b].max(axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([first + blocks] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), *[rows.column(c).combine_chunks() for c in ("label", "vec_id", "copies", "raw")], pa.array([low.tolist()] * n, pa.list_(pa.float64())), pa.array([high.tolist()] * n, pa.list_(pa.float64()))],
-                    names=["block", "seq", "label", "vec_id", "copies", "raw", "box_low", "box_high"],
+                    [pa.array([first + blocks] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), *[rows.column(c).combine_chunks() for c in ("label", "node", "copies", "raw")], pa.array([low.tolist()] * n, pa.list_(pa.float64())), pa.array([high.tolist()] * n, pa.list_(pa.float64()))],
+                    names=["block", "seq", "label", "node", "copies", "raw", "box_low", "box_high"],
                 )
                 blocks += 1
 
@@ -138,13 +138,13 @@ def grid_order(vectors: DataFrame, directions: np.ndarray, epsilon: float, inter
             yield from emit(part, True)
 
     shape = ", ".join(f"{c} int" for c in cells)
-    projected = vectors.select("vec_id", "label", "raw", "copies").mapInArrow(project, f"vec_id long, label string, raw binary, copies long, at array<double>, {shape}")
-    order = ["label", *cells, F.col("at")[0], "vec_id"]
+    projected = vectors.select("node", "label", "raw", "copies").mapInArrow(project, f"node long, label string, raw binary, copies long, at array<double>, {shape}")
+    order = ["label", *cells, F.col("at")[0], "node"]
     return (
         projected.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("label", "vec_id", "copies", "raw", "at")
-        .mapInArrow(cut, "block long, seq int, label string, vec_id long, copies long, raw binary, box_low array<double>, box_high array<double>")
+        .select("label", "node", "copies", "raw", "at")
+        .mapInArrow(cut, "block long, seq int, label string, node long, copies long, raw binary, box_low array<double>, box_high array<double>")
     )
 
 
@@ -204,14 +204,14 @@ def interval_join(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarr
 
 def _join_blocks(directions: np.ndarray, threshold: float, epsilon: float):
     """Links inside pairs of intervals: per vector its number of links and one root to reach."""
-    names = ["vec_id", "n_links", "root"]
+    names = ["node", "n_links", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, ["a", "b"], 2048):
             a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
             starts = group_starts([a, b])
             stops = np.append(starts[1:], part.num_rows)
-            vec, copies = part.column("vec_id").to_numpy(), part.column("copies").to_numpy()
+            node, copies = part.column("node").to_numpy(), part.column("copies").to_numpy()
             x = _matrix(part.column("raw").to_pylist())
             at = x @ directions
             second = part.column("side").to_numpy()
@@ -228,7 +228,7 @@ def _join_blocks(directions: np.ndarray, threshold: float, epsilon: float):
                 links = np.bincount(u, own[v], n) + np.bincount(v, own[u], n)
                 label = spanning_labels(n, u, v)
                 hit = np.flatnonzero(links)
-                ids = vec[lo:hi]
+                ids = node[lo:hi]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(ids[label[hit]])], names=names)
 
     return run
@@ -239,52 +239,47 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_col:
 
     Vectors link when their labels are equal and not null and their cosine in double
     precision is ``threshold`` or more. Equal vectors of one label are one vector with
-    copies until the end, so a large group of copies costs one comparison. Vectors that
-    are not usable link with nothing. Rows that repeat a vec_id count as rows of their
-    own; a null vec_id links and counts but never names a component of other rows; an
-    empty table gives no rows. Vectors of different length never link.
+    copies until the end, so a large group of copies costs one comparison; links run
+    between such classes, never between ids, so rows with equal or null ids link like any
+    other. Vectors that are not usable link with nothing. component_id is the smallest
+    vec_id, other than null, of the rows connected, the row itself included; kept is true
+    where it is the row's own. An empty table gives no rows. Vectors of different length
+    never link.
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold must be between 0 and 1")
     epsilon = float(np.sqrt(2 - 2 * threshold))
     each = store(unit_vectors(embeddings, id_col, vector_col, label_col), "vectors")
-    with_size = each.where("usable").withColumn("label", F.concat_ws(":", F.octet_length("raw"), "label"))
-    classes = with_size.groupBy("label", "raw").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
-    classes = store(classes, "classes")
-    joined = None
+    # Vectors of another length are of another label.
+    named = each.withColumn("label", F.concat_ws(":", F.octet_length("raw"), "label")).withColumn("class", F.when(F.col("usable"), _class_key()))
+    classes = named.where("usable").groupBy("class", "label", "raw").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    # Numbers are given once, when the table is written.
+    classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    joined = classes.select("node", F.lit(0).cast("long").alias("n_links"), F.col("node").alias("root")).limit(0)
     for (size,) in classes.select(F.octet_length("raw")).distinct().collect():  # one, unless lengths are mixed
-        of_size = classes.where(F.octet_length("raw") == size).where("vec_id IS NOT NULL")
+        of_size = classes.where(F.octet_length("raw") == size)
         directions = principal_directions(of_size)
-        if not directions.size:
-            continue
         rows = store(grid_order(of_size, directions, epsilon, interval), "order")
         pairs = near_blocks(rows.where("seq = 0").select("block", "label", "box_low", "box_high"), epsilon, min(KEYED, directions.shape[1]))
         tasks = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block"))
         members = (
-            tasks.join(rows.select("block", "seq", "vec_id", "copies", "raw"), "block")
+            tasks.join(rows.select("block", "seq", "node", "copies", "raw"), "block")
             .repartition("a", "b")
             .withColumn("side", (F.col("block") != F.col("a")).cast("int"))
             .sortWithinPartitions("a", "b", "side", "seq")
-            .select("a", "b", "side", "vec_id", "copies", "raw")
-        )
-        found = store(members.mapInArrow(_join_blocks(directions, threshold, epsilon), "vec_id long, n_links long, root long"), "found")
-        joined = found if joined is None else joined.unionAll(found)
-    if joined is None:
-        by_class = classes.select("label", "raw", F.col("vec_id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
-    else:
-        links = connected_components(joined.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-        counts = joined.groupBy("vec_id").agg(F.sum("n_links").alias("others"))
-        by_class = (
-            classes.join(counts, "vec_id", "left")
-            .join(links.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-            .select("label", "raw", F.coalesce("component", "vec_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+            .select("a", "b", "side", "node", "copies", "raw")
         )
-    # Rows find their class by a digest of label and vector, not by the vector itself.
-    by_class = by_class.select(_class_key().alias("class"), "component_id", "n_links")
-    named = each.withColumn("label", F.concat_ws(":", F.octet_length("raw"), "label")).withColumn("class", F.when(F.col("usable"), _class_key()).otherwise(F.concat(F.lit("-"), F.xxhash64("vec_id"))))
-    out = named.select("vec_id", "class").join(by_class, "class", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+        found = store(members.mapInArrow(_join_blocks(directions, threshold, epsilon), "node long, n_links long, root long"), "found")
+        release(rows)
+        joined = joined.unionAll(found)
+    counts = joined.groupBy("node").agg(F.sum("n_links").alias("others"))
+    components = named_components(classes, "node", joined.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    by_class = classes.select("class", "node", "copies").join(counts, "node", "left").join(components, "node").select("class", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    # Rows find their class by its digest, not by the vector itself; a row without one has a key of its own.
+    alone = F.concat(F.lit("-"), F.xxhash64("vec_id"))
+    out = named.select("vec_id", "usable", F.coalesce("class", alone).alias("class")).join(by_class, "class", "left")
+    component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def _class_key():

@@ -29,8 +29,8 @@ def spread_sample(ids: DataFrame, label: str, per_label: int, id_col: str = "doc
 def bounded_sample(rows: DataFrame, most: int, id_col: str) -> DataFrame:
     """At most ``most`` rows, the same ones whatever the partitioning.
 
-    Ids fall into ``most`` slots by hash and the one of smallest hash wins its slot; rows
-    that repeat a chosen id come along.
+    Values of ``id_col``, which must be unique, fall into ``most`` slots by hash and the one of
+    smallest hash wins its slot. Rows without a value are left out.
     """
     slotted = rows.where(F.col(id_col).isNotNull()).select(id_col, F.lit(0).alias("all"))
     chosen = spread_sample(slotted, "all", most, id_col).select(id_col)

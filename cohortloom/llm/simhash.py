@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunk_pairs, group_starts, spanning_labels, store, texts_of, whole_groups
-from .components import connected_components
+from .components import named_components
 
 #: Seed of XXH64 over a shingle.
 SEED = 42
@@ -38,24 +38,37 @@ SLICE = 1 << 15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text; 0 where it has no words."""
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles in order, a bounded number at a time.
+
+    Words are what lies between ASCII white space, A-Z in lower case; fewer words than
+    ``width`` are one shingle, and no words none.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
-    if len(words) < width:
-        return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    width = min(width, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
     stops = ends[width - 1 :].tolist()
     digest, seed = xxhash.xxh64_intdigest, SEED
-    counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(starts), SLICE):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[i : i + SLICE], stops[i : i + SLICE])], dtype="<u8")
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[i : i + SLICE], stops[i : i + SLICE])], dtype="<u8")
+
+
+def majority(parts: list[np.ndarray] | Iterator[np.ndarray]) -> int:
+    """The bits set in over half of the hashes; 0 without any."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text; 0 where it has no words."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,12 +106,13 @@ def bit_planes(prints: np.ndarray) -> np.ndarray:
 def near_pairs(prints: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, slice_words: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (q, i), low[q] <= i < high[q], whose prints differ in ``radius`` bits or fewer.
 
-    The vertical counters hold a distance up to 3 in two planes, offset so that the
-    radius is the last value before saturation; ``over`` collects the lanes beyond it.
+    The vertical counters have as many planes as the radius has bits, and start so high
+    that the radius is the last value before they overflow; ``over`` collects the lanes
+    beyond it.
     """
-    if radius > 3:
-        raise ValueError("the vertical counters hold radii up to 3")
     planes = bit_planes(prints)
+    counters = max(1, radius.bit_length())
+    start = (1 << counters) - 1 - radius
     busy = np.flatnonzero(high > low)
     first, last = low[busy] >> 6, (high[busy] - 1) >> 6
     words = last - first + 1
@@ -111,28 +125,26 @@ def near_pairs(prints: np.ndarray, low: np.ndarray, high: np.ndarray, radius: in
         n = words[begin:end]
         query = np.repeat(busy[begin:end], n)
         word = np.repeat(first[begin:end] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        over = np.zeros(len(query), dtype=np.uint64)
-        # Start the counters at 3 - radius: saturation then means radius + 1 or more.
-        one = np.full(len(query), _ONES if (3 - radius) & 1 else 0, dtype=np.uint64)
-        two = np.full(len(query), _ONES if (3 - radius) & 2 else 0, dtype=np.uint64)
+        count = [np.full(len(query), _ONES if start >> p & 1 else 0, dtype=np.uint64) for p in range(counters)]
         own = prints[query]
         # Lanes outside the range of the query count as beyond the radius from the start.
         lane = word << 6
-        head = np.clip(low[query] - lane, 0, 64)
-        tail = np.clip(high[query] - lane, 0, 64)
-        over |= ~_lanes(head, tail)
+        over = ~_lanes(np.clip(low[query] - lane, 0, 64), np.clip(high[query] - lane, 0, 64))
         for i in range(0, 64, 2):
             a = planes[i, word] ^ (np.uint64(0) - ((own >> np.uint64(i)) & np.uint64(1)))
             b = planes[i + 1, word] ^ (np.uint64(0) - ((own >> np.uint64(i + 1)) & np.uint64(1)))
-            half = one ^ a
-            carry = (one & a) | (half & b)
-            one = half ^ b
-            over |= two & carry
-            two ^= carry
+            # Carry-save: two differences and the lowest plane make one plane and one carry.
+            half = count[0] ^ a
+            carry = (count[0] & a) | (half & b)
+            count[0] = half ^ b
+            for p in range(1, counters):
+                count[p], carry = count[p] ^ carry, count[p] & carry
+            over |= carry
             if i % 8 == 6:
                 alive = np.flatnonzero(over != _ONES)
                 if len(alive) < 0.8 * len(over):
-                    query, word, own, over, one, two = (x[alive] for x in (query, word, own, over, one, two))
+                    query, word, own, over = (x[alive] for x in (query, word, own, over))
+                    count = [c[alive] for c in count]
                     if not len(query):
                         break
         hit = np.flatnonzero(over != _ONES)
@@ -185,7 +197,7 @@ def _compare(radius: int):
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """A spanning set of links (u, v) over rows (fp, node) with distinct fp.
+    """A spanning set of links (u, v) over rows (fp, node) with distinct fp, for a small radius.
 
     Every pair of fingerprints at ``radius`` bits or fewer is connected by returned links.
     """
@@ -207,15 +219,13 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows (doc_id, fp, component_id, text_key), one per row of ``docs``.
 
-    component_id is the smallest doc_id reachable over links, itself included. Texts
-    without words all have fingerprint 0 and link like any other. Rows with a null
-    doc_id keep their fingerprint and get the component of equal or near texts (null
-    where there is none). Repeated rows are returned as often as they occur; an empty
-    table gives no rows. Other columns of ``docs`` are not read.
+    component_id is the smallest doc_id, other than null, reachable over links, itself
+    included (null where there is none). Links run between fingerprints, so rows with null
+    or equal ids link like any other. Texts without words all have fingerprint 0. Repeated
+    rows are returned as often as they occur; an empty table gives no rows. Other columns of
+    ``docs`` are not read.
     """
     each = store(fingerprints(docs, id_col, text_col), "prints")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    links = near_links(distinct.where("node IS NOT NULL"), radius)
-    grouped = connected_components(links)
-    by_print = distinct.join(grouped, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return each.join(by_print, "fp", "left").select("doc_id", "fp", "component_id", "text_key")
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    links = near_links(distinct.select("fp", F.col("fp").alias("node")), radius)
+    return each.join(named_components(distinct, "fp", links), "fp", "left").select("doc_id", "fp", "component_id", "text_key")

@@ -62,7 +62,7 @@ def test_fingerprint_slices_are_summed(monkeypatch):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6, 24])
 def test_bit_sliced_pairs_are_all_near_pairs(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -101,6 +101,17 @@ def test_near_duplicates_without_rows_or_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in found) == [(-1, -1), (-1, 7), (7, 7), (7, 7)]
 
 
+def test_near_duplicates_link_through_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(words[:-n] + ["other"] * n if n else words)
+    prints = {n: slow_fingerprint(text(n)) for n in range(0, 40)}
+    # A chain of three texts whose ends are over 3 bits apart; its middle has no id.
+    chain = next((a, b, c) for a in prints for b in prints for c in prints if 0 < (prints[a] ^ prints[b]).bit_count() <= 3 and 0 < (prints[b] ^ prints[c]).bit_count() <= 3 < (prints[a] ^ prints[c]).bit_count())
+    rows = [(5, text(chain[0])), (None, text(chain[1])), (9, text(chain[2])), (5, "quite another text here"), (None, "nothing like the others at all")]
+    found = simhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in found) == [(-1, -1), (-1, 5), (5, 5), (5, 5), (9, 5)]
+
+
 @pytest.mark.parametrize("fan_in", [2, 16])
 @pytest.mark.parametrize("largest", [True, False])
 def test_exact_duplicates(spark, fan_in, largest):
@@ -166,6 +177,15 @@ def test_embedding_recall_is_full_on_large_intervals_of_one_label(spark):
     assert got == dict(enumerate(want.tolist()))
 
 
+def test_embeddings_that_share_or_lack_an_id(spark):
+    turn = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(5, turn(0.0), 1), (5, turn(1.5), 1), (8, turn(0.15), 1), (None, turn(0.3), 1), (9, turn(0.45), 1), (None, turn(3.0), 1), (None, None, 1), (5, None, 1)]
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    # 0.3 apart is below a cosine of 0.98; 0.15 apart is above.
+    want = [(5, 1, 5, True), (5, 0, 5, True), (8, 2, 5, False), (None, 2, 5, False), (9, 1, 5, False), (None, 0, None, False), (None, 0, None, False), (5, 0, 5, True)]
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+
+
 def test_embeddings_empty_and_unusable(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embed_dedup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
