@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import texts_of
 from .sampling import is_held_out, spread_sample
 
-#: Documents of each language that the machines learn from, at most.
-PER_LANGUAGE = 400
+#: Documents of each language that the machines learn from, at most, and of all of them.
+PER_LANGUAGE, IN_ALL = 400, 8000
 #: Buckets of the hashed n-grams, and their lengths in bytes.
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -71,9 +71,8 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, sweeps: int = 30) -
 
     The bias is an additional constant feature, the last weight. Classes weigh alike.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    norm = (x * x).sum(axis=1)
+    w, alpha = np.zeros(x.shape[1] + 1), np.zeros(len(x))
+    norm = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1
     top = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     order = np.arange(len(x))
     shuffle = np.random.default_rng(7)
@@ -81,10 +80,11 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, sweeps: int = 30) -
         shuffle.shuffle(order)
         most = 0.0
         for i in order:
-            gradient = y[i] * (w @ x[i]) - 1
+            gradient = y[i] * (w[:-1] @ x[i] + w[-1]) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), top[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[:-1] += (new - alpha[i]) * y[i] * x[i]
+                w[-1] += (new - alpha[i]) * y[i]
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
         if most < 1e-3:
@@ -164,7 +164,7 @@ def fit(texts: list[str], langs: list[str], families: int | None = None) -> Mode
     if not rows:
         return Model()
     lang_of = np.array([r[0] for r in rows])
-    x = np.stack([profile(r[1]) for r in rows]).astype(np.float64)
+    x = np.stack([profile(r[1]).astype(np.float32) for r in rows])
     groups = language_families({k: x[lang_of == k].mean(axis=0) for k in sorted(set(langs) & set(lang_of.tolist()))}, families)
     model = Model(groups)
     for group in groups:
@@ -179,12 +179,17 @@ def fit(texts: list[str], langs: list[str], families: int | None = None) -> Mode
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, families: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the training rows of ``docs``: a sample of ``per_language`` rows each.
 
-    Rows of the held-out fold and rows without a language are never learned from.
+    Where there are many languages each has a smaller share of IN_ALL rows, 20 at least, so
+    the driver's matrix of profiles stays small. Rows of the held-out fold and rows without
+    a language are never learned from.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
+    languages = own.select("lang").distinct().count()
+    per_language = max(1, min(per_language, max(20, IN_ALL // max(languages, 1))))
     chosen = spread_sample(own.select("doc_id", "lang"), "lang", per_language).select("doc_id")
     # At most per_language rows a language: a bounded table of identifiers.
-    rows = own.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("text", "lang").collect()
+    # Of rows that share an id the smallest counts, so the sample is the same every time.
+    rows = own.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.text", "r.lang").collect()
     return fit([r.text or "" for r in rows], [r.lang for r in rows], families)
 
 

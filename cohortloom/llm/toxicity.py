@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = spread_sample(marks, "mark", per_label)
     # At most 2 x per_label rows: a bounded table of identifiers.
-    rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "mark"]).select("text", "mark").collect()
+    # Of rows that share an id the smallest text counts, so the sample is the same every time.
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "mark").agg(F.min("text").alias("text")).select("text", "mark").collect()
     return fit([r.text or "" for r in rows], [r.mark for r in rows])
 
 
