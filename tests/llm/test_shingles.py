@@ -1,9 +1,10 @@
-"""The pipeline's near-duplicate stage against brute-force Jaccard likeness."""
+"""SimHash at a wide radius, and the pipeline's near-duplicate stage, against brute-force Jaccard likeness."""
 
 import random
 
 import corpus_pipeline
-from cohortloom.llm import shingle_dedup
+import pytest
+from cohortloom.llm import simhash_texts
 
 
 def plain_set(text):
@@ -47,11 +48,12 @@ def texts():
     return [*made, "", None, " \n", "one two", "One  two", "one two three", made[0].upper()]
 
 
-def test_links_are_all_pairs_of_enough_likeness(spark, monkeypatch):
-    monkeypatch.setattr(shingle_dedup, "COMMON_IN", 2)
+@pytest.mark.parametrize("bucket", [4, 4096])
+def test_links_are_all_pairs_of_enough_likeness(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash_texts, "COMMON_IN", 2)
     rows = list(enumerate(texts()))
     random.Random(1).shuffle(rows)
-    found = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r.doc_id: r.component_id for r in simhash_texts.near_texts(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
     want = dict(zip([k for k, _ in rows], plain_components(rows)))
     assert found == want
     assert len(set(want.values())) < len(rows) - 50
@@ -70,5 +72,5 @@ def test_null_ids_link(spark):
     # 1 and 2 are too far from each other and both near the row without an id.
     rows = [(1, change(0, 1)), (None, change(0, 1, 58, 59)), (2, change(58, 59, 2, 3, 4, 5, 0, 1))]
     want = plain_components(rows)
-    got = shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash_texts.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.component_id for r in got) == sorted(want)
