@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import exact_dedup, packing, pii, shingle_dedup, toxicity
+from cohortloom.llm import exact_dedup, packing, pii, simhash_texts, toxicity
 from cohortloom.llm.common import new_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text scores below the toxicity threshold."""
+    """Documents whose text scores below the toxicity threshold.
+
+    A null or empty text scores 0 and stays; rows are judged one by one, so repeated rows and
+    rows without an id go or stay by their text; without labels or rows nothing goes.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
@@ -30,12 +34,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near-duplicates: the one with the smallest id.
 
-    Texts link where their sets of five-word shingles have a Jaccard likeness of 0.8 or more.
-    Texts with fewer words than a shingle are compared as a whole; texts without words
+    Texts link where their SimHashes of five-word shingles are near and the sets of shingles
+    have a Jaccard likeness of 0.8 or more. Texts with fewer words than a shingle are compared as a whole; texts without words
     are one component. Rows that repeat that id stay together; of a component without any
     id all rows stay.
     """
-    return _without(docs, shingle_dedup.near_duplicates(docs).where("NOT doc_id <=> component_id"))
+    return _without(docs, simhash_texts.near_texts(docs).where("NOT doc_id <=> component_id"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -48,7 +52,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and terms that disclose it replaced in the text.
 
-    ``n_chars`` follows the text.
+    ``n_chars`` follows the text. Null and empty texts and those without spans stay as they
+    are; repeated rows and rows without an id are masked alike; an empty table stays empty.
     """
     clean = pii.sanitise(docs)
     if "n_chars" in docs.columns:
@@ -58,7 +63,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens."""
+    """Pieces of all documents in sequences of at most 4096 tokens.
+
+    A null or empty text is its end id alone; repeated rows and rows without an id are packed
+    one by one; an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
