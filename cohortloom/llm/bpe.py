@@ -16,7 +16,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, share_file, store, texts_of
-from .pieces import PieceCache, byte_level_pieces, once_per_worker, text_blocks
+from .pieces import byte_level_pieces, once_per_worker, text_blocks
 
 #: Words that the lexicon holds.
 LEXICON = 200_000
-#: Distinct pieces that a task counts before it passes their words on.
-COUNTED = 100_000
+#: Distinct pieces that a task counts before it passes the words of repeated ones on.
+COUNTED = 250_000
 #: Characters of text that are cut and looked up at a time.
-BLOCK_CHARS = 1 << 21
-#: Bytes of merged words that a Python worker remembers.
-REMEMBERED_BYTES = 24 << 20
+BLOCK_CHARS = 1 << 22
 #: Symbols up to which a word is merged by scanning, beyond it with a heap.
 SCAN = 48
 #: The pattern that byte-level BPE vocabularies of this kind are split by.
@@ -243,27 +241,36 @@ class Transducer:
         return self.ids[(self.row_end[row - 1] if row else 0) : self.row_end[row]].tobytes()
 
 
+def words_in(piece: str) -> list[bytes]:
+    """The words of a piece that has its leading space, if any, as bytes."""
+    return [w.encode("utf-8", "surrogatepass") for w in PATTERN.findall(piece)]
+
+
 class Encoder:
     """Ids of texts by lexicon first and exact merges for the rest, as bytes, four for an id."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, remembered: int = REMEMBERED_BYTES) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.merged = PieceCache(lambda words: [array("I", vocabulary.merge(w)).tobytes() for w in words], remembered)
         self.special = {t: array("I", [i]).tobytes() for t, i in vocabulary.special.items()}
 
-    def word_ids(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct words: all walk through the automaton at once, what it lacks is merged."""
-        words = list(words)
-        rows = self.lexicon.rows(words).tolist()
-        found = {w: self.lexicon.ids_of(r) for w, r in zip(words, rows) if r >= 0}
-        found.update(self.merged.values(w for w, r in zip(words, rows) if r < 0))
-        return found
-
-    def piece_ids(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces without special tokens."""
-        words = {p: [w.encode("utf-8", "surrogatepass") for w in PATTERN.findall(p)] for p in pieces}
-        found = self.word_ids(dict.fromkeys(chain.from_iterable(words.values())))
-        return {p: found[ws[0]] if len(ws) == 1 else b"".join(map(found.__getitem__, ws)) for p, ws in words.items()}
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words: all walk through the automaton at once, what it lacks is merged."""
+        ids_of, merge = self.lexicon.ids_of, self.vocabulary.merge
+        return [ids_of(r) if r >= 0 else array("I", merge(w)).tobytes() for w, r in zip(words, self.lexicon.rows(words).tolist())]
+
+    def piece_ids(self, heads: Iterable[str], tails: Iterable[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of distinct pieces, those as they stand and those that lost their space."""
+        first, later = dict.fromkeys(heads), dict.fromkeys(tails)
+        # Most pieces are letters alone, and then they are one word.
+        plain = [p for p in later if p.isalpha()]
+        cut = [(later, p, words_in(" " + p)) for p in later if not p.isalpha()] + [(first, p, words_in(p)) for p in first]
+        parts = list(dict.fromkeys(chain.from_iterable(ws for _, _, ws in cut)))
+        found = self.word_ids([b" " + p.encode() for p in plain] + parts)
+        later.update(zip(plain, found))
+        whole = dict(zip(parts, found[len(plain) :]))
+        for to, p, ws in cut:
+            to[p] = whole[ws[0]] if len(ws) == 1 else b"".join(map(whole.__getitem__, ws))
+        return first, later
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """(text, is special) in order: special tokens are cut out before anything else."""
@@ -274,26 +281,17 @@ class Encoder:
 
     def encode_block(self, texts: list[str]) -> Iterator[list[bytes]]:
         """For each text the ids of its pieces in order; each distinct piece is looked up once."""
-        cut: list[list[tuple[str | None, list[str]]]] = []
-        for text in texts:
-            parts = []
-            for t, is_special in self.segments(text):
-                first, *rest = (t,) if is_special else byte_level_pieces(t)
-                parts.append((None, [first]) if is_special else (first, rest))
-            cut.append(parts)
-        # A later piece of a segment has its space again, the first one is as it stands.
-        later = dict.fromkeys(p for parts in cut for first, rest in parts if first is not None for p in rest)
-        whole = self.piece_ids(chain((" " + p for p in later), (first for parts in cut for first, _ in parts if first is not None)))
-        for p in later:
-            later[p] = whole[" " + p]
+        # A special token stands without pieces; a later piece of a segment lost its space.
+        cut = [[(t, None if s else byte_level_pieces(t)) for t, s in self.segments(text)] for text in texts]
+        first, later = self.piece_ids((p[0] for parts in cut for _, p in parts if p), chain.from_iterable(islice(p, 1, None) for parts in cut for _, p in parts if p))
         for parts in cut:
             ids: list[bytes] = []
-            for first, rest in parts:
-                if first is None:
-                    ids += map(self.special.__getitem__, rest)
+            for t, p in parts:
+                if p is None:
+                    ids.append(self.special[t])
                 else:
-                    ids.append(whole[first])
-                    ids += map(later.__getitem__, rest)
+                    ids.append(first[p[0]])
+                    ids += map(later.__getitem__, islice(p, 1, None))
             yield ids
 
     def encode(self, text: str) -> list[int]:
@@ -302,29 +300,31 @@ class Encoder:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (word binary, n) over all words of all texts, folded in each task first."""
+    """Rows (word binary, n): words of all texts and how often tasks met them.
+
+    A task counts the pieces of its texts and passes on the words of those that occurred
+    again before it had met COUNTED different ones: a frequent word is counted wherever
+    it is, a rare one may be counted short.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: Counter[str] = Counter()
-        later: Counter[str] = Counter()
+        held: Counter[str] = Counter()
         for batch in batches:
             for text in texts_of(batch, "text"):
-                head, *rest = byte_level_pieces(text)
-                first[head] += 1
-                later.update(rest)
-                if len(first) + len(later) >= COUNTED:
-                    yield folded(first, later)
-        if first or later:
-            yield folded(first, later)
-
-    def folded(first: Counter[str], later: Counter[str]) -> pa.RecordBatch:
-        held: Counter[str] = Counter()
-        for pieces, space in ((first, ""), (later, " ")):
-            for piece, n in pieces.items():
-                for word in PATTERN.findall(space + piece):
-                    held[word] += n
-            pieces.clear()
-        return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+                held.update(islice(byte_level_pieces(text), 1, None))
+                if len(held) >= COUNTED:
+                    yield folded(held)
+                    held = Counter()
+        if held:
+            yield folded(held)
+
+    def folded(held: Counter[str]) -> pa.RecordBatch:
+        words: Counter[bytes] = Counter()
+        for piece, n in held.items():
+            if n > 1:
+                for word in [b" " + piece.encode()] if piece.isalpha() else words_in(" " + piece):
+                    words[word] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -332,11 +332,11 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON, text_col: str = "text") -> str:
     """Compile a lexicon, send its file to the executors, return the file's name.
 
-    It holds the ``most`` most frequent words of all texts. What it holds decides how fast
-    words are encoded, never how.
+    It holds the ``most`` most frequent words, counted over all texts. What it holds decides
+    how fast words are encoded, never how.
     """
     vocabulary = Vocabulary(path)
-    counts = store(word_counts(docs, text_col).where(F.length("word").between(1, 64)).where("n > 1"), "words")
+    counts = store(word_counts(docs, text_col).where(F.length("word").between(1, 64)), "words")
     # Words of equal count are all in or all out, so at most ``most`` words are collected.
     # The distinct counts above the cut are fewer than ``most`` too.
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most).collect()
