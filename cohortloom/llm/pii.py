@@ -6,8 +6,8 @@ The corpus tells how strongly: over the words in a window around every mention,
 disclosure of entity c by term t is the share of the information content of c that t
 carries, PMI(c; t) / IC(c), estimated from numbers of documents over the whole corpus. It
 is 1 where t occurs with c alone. Terms of enough disclosure are removed wherever they
-stand in any text, terms of somewhat less are generalised: beside a masked mention or far
-from it, a term still tells what was masked.
+stand in any text, terms of somewhat less give way to the class of what they disclose:
+beside a masked mention or far from it, a term still tells what was masked.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Prefix sums run over blocks of this many matches.
-_BLOCK = 256
+#: Running totals go over blocks of this many matches, and texts are cut into parts of so many
+#: code points.
+_BLOCK, _PART = 256, 4096
 
 
 def _luhn(digits: Column) -> Column:
@@ -73,12 +74,13 @@ def _fence(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
-def _starts(steps: str) -> tuple[Column, Column]:
-    """Sums of blocks of an array column, and its running sums given those of the blocks."""
-    blocks = F.expr(f"transform(sequence(0, greatest(size({steps}) - 1, 0) div {_BLOCK}), b -> aggregate(slice({steps}, b * {_BLOCK} + 1, {_BLOCK}), 0, (s, x) -> s + x))")
+def _running(steps: str, fold: str = "s + y") -> tuple[Column, Column]:
+    """Totals of blocks of an integer array column, and its running totals given those of the
+    blocks: a place costs a block and the number of blocks, not all places before it."""
+    blocks = F.expr(f"transform(sequence(0, greatest(size({steps}) - 1, 0) div {_BLOCK}), b -> aggregate(slice({steps}, b * {_BLOCK} + 1, {_BLOCK}), 0, (s, y) -> {fold}))")
     running = F.expr(
-        f"transform({steps}, (x, i) -> aggregate(slice({steps}_blocks, 1, i div {_BLOCK}), 0, (s, y) -> s + y)"
-        f" + aggregate(slice({steps}, (i div {_BLOCK}) * {_BLOCK} + 1, i % {_BLOCK} + 1), 0, (s, y) -> s + y))"
+        f"transform({steps}, (x, i) -> aggregate(concat(slice({steps}_blocks, 1, i div {_BLOCK}),"
+        f" slice({steps}, (i div {_BLOCK}) * {_BLOCK} + 1, i % {_BLOCK} + 1)), 0, (s, y) -> {fold}))"
     )
     return blocks, running
 
@@ -105,8 +107,8 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         lambda a, b: a + b,
     )
     df = _fence(df.select("doc_id", "text", "digest", *[f"{k}_m" for k in kinds], *[step(k).alias(f"{k}_s") for k in kinds]))
-    df = _fence(df.select("*", *[_starts(f"{k}_s")[0].alias(f"{k}_s_blocks") for k in kinds]))
-    df = _fence(df.select("doc_id", "text", "digest", *[f"{k}_m" for k in kinds], *[_starts(f"{k}_s")[1].alias(f"{k}_at") for k in kinds]))
+    df = _fence(df.select("*", *[_running(f"{k}_s")[0].alias(f"{k}_s_blocks") for k in kinds]))
+    df = _fence(df.select("doc_id", "text", "digest", *[f"{k}_m" for k in kinds], *[_running(f"{k}_s")[1].alias(f"{k}_at") for k in kinds]))
 
     def spans(place: int, k: str) -> Column:
         made = F.zip_with(f"{k}_at", f"{k}_m", lambda a, m: F.struct(a.cast("int").alias("start"), (a + F.length(m)).cast("int").alias("end"), F.lit(place).alias("kind"), m.alias("value")))
@@ -120,13 +122,13 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _terms(mentions: DataFrame) -> DataFrame:
-    """Rows (doc_id, digest, entity, context, term) of the whole words near mentions."""
+    """Rows (row, entity, context, term) of the whole words near mentions."""
     word = rf"\p{{L}}{{{SHORTEST},}}+"
     full = F.length("before") == WINDOW
     before = F.when(full, F.regexp_replace("before", r"^\p{L}++", "")).otherwise(F.col("before"))
     after = F.when(F.length("after") == WINDOW, F.regexp_replace("after", r"\p{L}++$", "")).otherwise(F.col("after"))
     words = F.concat(F.regexp_extract_all(before, F.lit(word), F.lit(0)), F.regexp_extract_all(after, F.lit(word), F.lit(0)))
-    return mentions.select("doc_id", "digest", "entity", "context", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term"))
+    return mentions.select("row", "entity", "context", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term"))
 
 
 def _words(text: Column) -> Column:
@@ -135,73 +137,78 @@ def _words(text: Column) -> Column:
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (term, in_docs): documents of the whole corpus in which each word occurs."""
+    """Rows (term, in_docs): documents (rows) of the whole corpus in which each word occurs."""
     words = _words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return docs.select(F.explode(words).alias("term")).where(F.length("term") >= SHORTEST).groupBy("term").agg(F.count(F.lit(1)).alias("in_docs"))
 
 
-def disclosures(terms: DataFrame, docs: DataFrame, text_col: str = "text", chance: float = CHANCE) -> DataFrame:
+def disclosures(mentions: DataFrame, docs: DataFrame, text_col: str = "text", chance: float = CHANCE) -> DataFrame:
     """Rows (entity, term, disclosure) over terms that meet an entity more often than by chance.
 
-    disclosure = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)), from numbers of documents.
-    Independent, c and t would meet in m = n(c) n(t) / N documents; k or more times at a
-    chance of at most m^k / k!, where k is the number of different windows they met in:
-    copies of a window are no further evidence. Data that occurs once is judged too, by
-    how rare its terms are.
+    disclosure = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)). All four are numbers of
+    documents, every row of ``docs`` one: a document that meets entity and term in several
+    windows counts once. Independent, c and t would meet in m = n(c) n(t) / N documents; k or
+    more times at a chance of at most m^k / k!, where k is the number of different windows
+    they met in, or of documents if that is less: copies of a window are no further evidence.
+    Data that occurs once is judged too, by how rare its terms are.
     """
-    n = docs.count()
-    once = terms.select("entity", "term", "context", "digest", "doc_id").distinct()
-    # Distinct windows first, then windows per pair: a hot entity is pre-aggregated twice.
-    by_window = once.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_window.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_ct"))
-    of_entity = once.select("entity", "digest", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    whole = pairs.join(of_entity, "entity").join(document_frequencies(docs, text_col), "term")
-    n_ct = F.least("n_ct", "n_c", "in_docs")
-    pmi = F.log(n_ct * F.lit(float(max(n, 1))) / (F.col("n_c") * F.col("in_docs")))
-    content = F.log(F.lit(float(max(n, 1))) / F.col("n_c"))
+    n = float(max(docs.count(), 1))
+    terms = store(_terms(mentions), "terms")
+    number = F.count(F.lit(1))
+    # Distinct first, then counted: a hot entity is pre-aggregated twice.
+    pairs = terms.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(number.alias("n_ct"))
+    windows = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(number.alias("contexts"))
+    of_entity = mentions.select("entity", "row").distinct().groupBy("entity").agg(number.alias("n_c"))
+    whole = pairs.join(windows, ["entity", "term"]).join(of_entity, "entity").join(document_frequencies(docs, text_col), "term")
+    n_ct = F.least("n_ct", "in_docs")
+    pmi = F.log(n_ct * F.lit(n) / (F.col("n_c") * F.col("in_docs")))
+    content = F.log(F.lit(n) / F.col("n_c"))
     # Logarithms of m^k / k!; k! by ln k! >= k ln k - k, which is larger than the chance, and exact for 1.
     met = F.least("contexts", n_ct)
     of_k = F.when(met == 1, F.lit(0.0)).otherwise(met * F.log(met) - met)
-    likely = met * F.log(F.col("n_c") * F.col("in_docs") / F.lit(float(max(n, 1)))) - of_k
+    likely = met * F.log(F.col("n_c") * F.col("in_docs") / F.lit(n)) - of_k
     return whole.where((F.col("n_c") < n) & (likely <= F.lit(math.log(chance)))).select("entity", "term", (pmi / content).alias("disclosure"))
 
 
 def _occurrences(docs: DataFrame, strong: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (of_doc, digest, added): every whole word of every text that is a term of ``strong``.
+    """Rows (of_doc, digest, added): every whole word of every text that is a term of ``strong``,
+    one for each document and text.
 
     Words are joined first, without places; only texts with a term are cut into words again.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("*", F.sha2("text", 256).alias("digest"))
     named = rows.select("doc_id", "digest", F.explode(_words(F.col("text"))).alias("term")).join(strong, "term")
     named = named.groupBy("doc_id", "digest").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions")).withColumnRenamed("doc_id", "of_doc").withColumnRenamed("digest", "of_digest")
-    hit = rows.dropDuplicates(["doc_id", "digest"]).join(named, rows["doc_id"].eqNullSafe(named["of_doc"]) & (rows["digest"] == named["of_digest"])).select("of_doc", "digest", "actions", "text")
+    hit = rows.join(named, rows["doc_id"].eqNullSafe(named["of_doc"]) & (rows["digest"] == named["of_digest"])).select("of_doc", "digest", "actions", "text")
     word = rf"\p{{L}}{{{SHORTEST},}}+"
     df = _fence(hit.select("of_doc", "digest", "actions", F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("m"), F.transform(F.split("text", word, -1), F.length).alias("g")))
     step = F.zip_with(F.slice("g", F.lit(1), F.size("m")), F.slice(F.concat(F.array(F.lit(0)), F.transform("m", F.length)), F.lit(1), F.size("m")), lambda a, b: a + b)
     df = _fence(df.select("of_doc", "digest", "actions", "m", step.alias("w_s")))
-    df = _fence(df.select("*", _starts("w_s")[0].alias("w_s_blocks")))
-    df = _fence(df.select("of_doc", "digest", "actions", "m", _starts("w_s")[1].alias("at")))
+    df = _fence(df.select("*", _running("w_s")[0].alias("w_s_blocks")))
+    df = _fence(df.select("of_doc", "digest", "actions", "m", _running("w_s")[1].alias("at")))
     item = lambda a, m: F.struct(a.cast("int").alias("start"), (a + F.length(m)).cast("int").alias("end"), F.lit(KINDS.index("term")).alias("kind"), F.lower(m).alias("value"), F.try_element_at("actions", F.lower(m)).alias("action"))
-    return df.select("of_doc", "digest", F.filter(F.zip_with("at", "m", item), lambda t: t["action"].isNotNull()).alias("added"))
+    found = df.select("of_doc", "digest", F.filter(F.zip_with("at", "m", item), lambda t: t["action"].isNotNull()).alias("added"))
+    return found.groupBy("of_doc", "digest").agg(F.first("added").alias("added"))  # repeated rows have equal ones
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
     """Rows (doc_id, digest, spans): pattern spans and terms that disclose, one per row of ``docs``.
 
     spans is array<struct<start, end, kind, value, action>> by start and kind; action is
-    ``mask``, ``remove`` or ``generalise``. A term counts at every place of every text, by
-    its strongest disclosure of any entity. Terms that touch a pattern span are part of it
-    already. A null text is empty and has no spans; rows that repeat id and text have equal
-    spans and count as one document for a pair; an empty table gives no rows.
+    ``mask``, ``remove`` or, for terms to generalise, the kind of what they disclose most. A
+    term counts at every place of every text, by its strongest disclosure of any entity.
+    Terms that touch a pattern span are part of it already. A null text is empty and has no
+    spans; rows that repeat id and text have equal spans; an empty table gives no rows.
     """
-    base = store(base_spans(docs, id_col, text_col), "spans")
-    mentions = base.select("doc_id", "digest", F.inline("spans")).select(
-        "doc_id", "digest", F.sha2(F.concat_ws(":", "kind", F.lower("value")), 256).alias("entity"),
+    base = store(base_spans(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "spans")
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    mentions = base.select("row", F.inline("spans")).select(
+        "row", F.concat_ws(":", F.element_at(kinds, F.col("kind") + 1), F.sha2(F.lower("value"), 256)).alias("entity"),
         F.xxhash64("before", "after").alias("context"), "before", "after",
     )
-    terms = store(_terms(mentions), "terms")
-    strong = disclosures(terms, docs, text_col, chance).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("d"))
-    action = F.when(F.col("d") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
+    strong = disclosures(mentions, docs, text_col, chance).where(F.col("disclosure") >= generalise)
+    strong = strong.groupBy("term").agg(F.max(F.struct("disclosure", "entity")).alias("most"))
+    action = F.when(F.col("most.disclosure") >= remove, F.lit("remove")).otherwise(F.substring_index("most.entity", ":", 1))
     added = _occurrences(docs, store(strong.select("term", action.alias("action")), "strong"), id_col, text_col)
     own = F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"], F.lit("mask").alias("action")))
     joined = _attach(base.select("doc_id", "digest", own.alias("own")), added)
@@ -225,21 +232,39 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows and columns of ``docs`` with personal data masked in the text.
 
     Pattern spans become a mark of their kind, removed terms ``[REMOVED]`` and generalised
-    ones ``[TERM]``. Spans that overlap are replaced once, by the first. Texts without
-    spans, null ones included, stay as they are.
+    ones a mark of the kind that they disclose, such as ``[EMAIL TERM]``. Spans that overlap
+    are replaced once, by the first. Texts without spans, null ones included, stay as they
+    are; repeated rows and rows without an id are masked alike; an empty table stays empty.
     """
     found = find_spans(docs, id_col, text_col, **options).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("loom_id"), F.col("digest").alias("loom_digest"), F.col("spans").alias("loom_spans")).dropDuplicates(["loom_id", "loom_digest"])
-    text = F.col(text_col)
-    same = docs[id_col].eqNullSafe(F.col("loom_id")) & (F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256) == F.col("loom_digest"))
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    mark = lambda s: F.when(s["action"] == "remove", F.lit("[REMOVED]")).otherwise(F.element_at(marks, s["kind"] + 1))
+    # One column of a name that no input has keeps clashing names apart.
+    own = next(f"loom_{i}" for i in range(len(docs.columns) + 1) if f"loom_{i}" not in docs.columns)
+    found = found.dropDuplicates(["doc_id", "digest"]).select(F.struct("doc_id", "digest", "spans").alias(own))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    same = docs[id_col].eqNullSafe(found[own]["doc_id"]) & (F.sha2(text, 256) == found[own]["digest"])
+    joined = docs.join(found, same, "left")
+    clean = joined.where(found[own].isNull()).select(*[docs[c] for c in docs.columns])
+    return clean.unionByName(_masked(joined.where(found[own].isNotNull()), docs, text_col, found[own]["spans"]))
+
 
-    def fold(done: Column, s: Column) -> Column:
-        kept = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        return F.when(s["start"] >= done["at"], F.struct(s["end"].alias("at"), F.concat(done["out"], kept, mark(s)).alias("out"))).otherwise(F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out")))
+def _masked(hit: DataFrame, docs: DataFrame, text_col: str, spans: Column) -> DataFrame:
+    """Rows of ``docs`` with their spans replaced, in time linear in the text.
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    clean = F.when(F.col("loom_spans").isNull(), text).otherwise(F.aggregate("loom_spans", start, fold, rest))
-    return docs.join(found, same, "left").select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    The text is cut into blocks once, and what stands between spans is put together from
+    parts of blocks: a substring of the whole text would be sought from its first character.
+    """
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    mark = lambda s: F.when(s["action"] == "mask", F.element_at(marks, s["kind"] + 1)).when(s["action"] == "remove", F.lit("[REMOVED]")).otherwise(F.concat(F.lit("["), F.upper(s["action"]), F.lit(" TERM]")))
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    df = hit.select(
+        row, F.length(docs[text_col]).alias("n"), F.regexp_extract_all(docs[text_col], F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)).alias("parts"),
+        F.transform(spans, lambda s: s["start"]).alias("begin"), F.transform(spans, lambda s: s["end"]).alias("stop"), F.transform(spans, mark).alias("mark"),
+    )
+    df = _fence(df)
+    df = _fence(df.select("*", _running("stop", "greatest(s, y)")[0].alias("stop_blocks")))
+    # A span is replaced where all spans before it have ended; what they covered is gone.
+    df = _fence(df.select("row", "n", "parts", "begin", "mark", F.concat(F.array(F.lit(0)), _running("stop", "greatest(s, y)")[1]).alias("done")))
+    kept = "concat(filter(transform(begin, (b, i) -> struct(done[i] AS a, b AS b, mark[i] AS mark)), k -> k.a <= k.b), array(struct(done[size(begin)] AS a, n AS b, '' AS mark)))"
+    part = f"transform(sequence(k.a div {_PART}, (k.b - 1) div {_PART}), p -> substring(parts[p], greatest(k.a - p * {_PART}, 0) + 1, least(k.b - p * {_PART}, {_PART}) - greatest(k.a - p * {_PART}, 0)))"
+    clean = F.expr(f"array_join(transform({kept}, k -> concat(if(k.b > k.a, array_join({part}, ''), ''), k.mark)), '')")
+    return df.select(*[clean.alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
