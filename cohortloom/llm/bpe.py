@@ -29,11 +29,11 @@ from .common import release, share_file, store, texts_of
 from .pieces import byte_level_pieces, once_per_worker, text_blocks
 
 #: Words that the lexicon holds.
-LEXICON = 200_000
+LEXICON = 300_000
 #: Distinct pieces that a task counts before it passes the words of repeated ones on.
 COUNTED = 250_000
 #: Characters of text that are cut and looked up at a time.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 23
 #: Symbols up to which a word is merged by scanning, beyond it with a heap.
 SCAN = 48
 #: The pattern that byte-level BPE vocabularies of this kind are split by.

@@ -104,7 +104,15 @@ def bit_planes(prints: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(prints: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, slice_words: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (q, i), low[q] <= i < high[q], whose prints differ in ``radius`` bits or fewer.
+    """Index pairs (q, i), low[q] <= i < high[q], whose prints differ in ``radius`` bits or fewer."""
+    found = list(near_pair_slices(prints, low, high, radius, slice_words))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([q for q, _ in found]), np.concatenate([i for _, i in found])
+
+
+def near_pair_slices(prints: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int, slice_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, those of ``slice_words`` machine words at a time.
 
     The vertical counters have as many planes as the radius has bits, and start so high
     that the radius is the last value before they overflow; ``over`` collects the lanes
@@ -116,7 +124,6 @@ def near_pairs(prints: np.ndarray, low: np.ndarray, high: np.ndarray, radius: in
     busy = np.flatnonzero(high > low)
     first, last = low[busy] >> 6, (high[busy] - 1) >> 6
     words = last - first + 1
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     ends = np.cumsum(words)
     begin = 0
     while begin < len(busy):
@@ -151,11 +158,8 @@ def near_pairs(prints: np.ndarray, low: np.ndarray, high: np.ndarray, radius: in
         if len(hit):
             lanes = np.unpackbits((~over[hit]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             at, bit = np.nonzero(lanes)
-            found.append((query[hit][at], (word[hit][at] << 6) + bit))
+            yield query[hit][at], (word[hit][at] << 6) + bit
         begin = end
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([q for q, _ in found]), np.concatenate([i for _, i in found])
 
 
 def _lanes(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
