@@ -38,6 +38,7 @@ FEATURES: tuple[tuple[str, tuple[str, ...] | None, bool], ...] = (
     ("jurisdiction", None, False),
     ("calendar_year", None, True),
 )
+#: Fixed value: days of history that a source must cover before an event.
 LOOKBACK_DAYS = 1095
 #: Replicates of the reference's intervals.
 REPLICATES = 500

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..frame import Frame
 
+#: Names of the gates.
 JUDGE_COLUMN_GATES = ("deciding_judge", "sentencing_judge", "disposing_judge")
 GATES = (*JUDGE_COLUMN_GATES, "assigned_ever", "assigned_at_time", "court_of_case")
-#: Actors and kinds of discretion that never count as a judge's decision.
+#: Actors and kinds of discretion that never count as a judge's decision.
 NOT_JUDICIAL_ACTORS = ("legislature_or_mandatory_rule", "unknown")
 NOT_JUDICIAL_DISCRETION = ("mandatory", "unknown")
 
@@ -136,7 +137,14 @@ def unknown_actor_pretrial_decisions(frame: Frame) -> DataFrame:
 
 
 def subjects_of(frame: Frame) -> DataFrame:
-    """Rows (source_id, subject_type, subject_id): judges named anywhere, and courts (GA9)."""
+    """Rows (source_id, subject_type, subject_id): judges named anywhere, and courts (GA9).
+
+    A function of the frame alone: listed once for it, or read where it is stored beside it.
+    """
+    return frame.once("subjects", _list_subjects)
+
+
+def _list_subjects(frame: Frame) -> DataFrame:
     named = [t.select("source_id", "judge_id") for t in (frame.assignments, frame.charges, frame.decisions, frame.sentences)]
     judges = named[0].union(named[1]).union(named[2]).union(named[3]).where("judge_id IS NOT NULL").distinct()
     courts = frame.courts.select("source_id", F.col("id").alias("judge_id")).distinct()

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of the session, a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
+    """A checkpoint in the shared folder of the session."""
+    folder, context = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -41,14 +41,26 @@ def survivors(merges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Rows (id, component) over links (a, b): smallest reachable id, by minima along links."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = cut_lineage(both)
-    label = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = label.join(near, "id").select("id", F.least("component", "near").alias("next"), (F.col("near") < F.col("component")).alias("moved"))
-        step = cut_lineage(step)
-        label = step.select("id", F.col("next").alias("component"))
-        if step.where("moved").isEmpty():
-            return label
+    """Rows (id, component) over links (a, b): the smallest reachable id of every end.
+
+    Links become stars: in each round every node hands its larger neighbours to the smallest
+    one, then every node keeps its smallest neighbour and hands it the others. Rounds grow
+    with the logarithm of the longest chain; minima are pre-aggregated, nothing is gathered.
+    """
+    one = lambda a, b: edges.select(F.col(a).alias("id"), F.col(b).alias("to"))
+    ends = cut_lineage(one("a", "b").union(one("b", "a")).where("id IS NOT NULL AND to IS NOT NULL").distinct())
+    links = cut_lineage(ends.where("id > to"))
+    while not _stars(links):
+        both = links.union(links.select(F.col("to").alias("id"), F.col("id").alias("to")))
+        centre = both.groupBy("id").agg(F.min("to").alias("low")).withColumn("low", F.least("low", "id"))
+        outward = both.join(centre, "id").where("to > id").select(F.col("to").alias("id"), F.col("low").alias("to")).distinct()
+        least = outward.groupBy("id").agg(F.min("to").alias("low"))
+        inward = outward.join(least, "id").where("to <> low").select(F.col("to").alias("id"), F.col("low").alias("to"))
+        links = cut_lineage(inward.union(least.select("id", F.col("low").alias("to"))).distinct())
+    return ends.select("id").distinct().join(links, "id", "left").select("id", F.coalesce("to", "id").alias("component"))
+
+
+def _stars(links: DataFrame) -> bool:
+    """True if every node has one smaller neighbour and that one has none."""
+    roots = links.select(F.col("to").alias("id")).distinct()
+    return links.groupBy("id").count().where("count > 1").isEmpty() and links.join(roots, "id", "left_semi").isEmpty()

@@ -149,22 +149,46 @@ OBSERVATION = {
     "numerator": "long", "denominator": "long", "value": "double", "low": "double", "high": "double", "suppressed": "boolean", "suppression_reason": "string",
 }
 _AS = {"windowed_rate": {"denominator": "followed", "value": "rate"}, "survival": {"numerator": "events", "denominator": "eligible", "value": "incidence"}, "share": {"value": "rate"}, "median": {"value": "median"}}
+#: Columns of an observation that a kind has beside the keys.
+_HAS = {
+    "count": ("numerator",), "share": ("numerator", "denominator", "value", "low", "high", "suppressed", "suppression_reason"),
+    "windowed_rate": ("window_days", "numerator", "denominator", "value", "low", "high", "suppressed", "suppression_reason"),
+    "survival": ("window_days", "numerator", "denominator", "value", "low", "high", "suppressed", "suppression_reason"),
+    "distribution": ("dimension_value", "numerator", "denominator"), "median": ("denominator", "value", "suppressed", "suppression_reason"),
+}
+
+
+def columns_of(metric: Metric) -> dict[str, str]:
+    """Columns of an observation that a metric has, with their names in its own table."""
+    has = ("subject_type", "subject_id", "calendar_year", *_HAS[metric.kind], *(("dimension_value",) if metric.dimension else ()))
+    return {c: _AS.get(metric.kind, {}).get(c, c) for c in has}
+
+
+def observation(frame: Frame, metric: Metric) -> DataFrame:
+    """One metric's rows in the shape of observations."""
+    table, names = COMPUTE[metric.kind](frame, metric), {"source_id": "source_id"} | columns_of(metric)
+    own = [F.lit(metric.slug).alias("slug")]
+    for c, kind in list(OBSERVATION.items())[1:]:
+        value = F.col(names[c]) if c in names else F.lit(False) if c == "suppressed" else F.lit(None)
+        own.append(value.cast(kind).alias(c))
+    return table.select(*own)
 
 
 def observations(frame: Frame, metrics: list[Metric]) -> DataFrame:
     """All observations of descriptive metrics in one shape (AG11)."""
-    parts = []
+    return reduce(DataFrame.unionByName, [observation(frame, m) for m in metrics])
+
+
+def run_all(frame: Frame, metrics: list[Metric], path: str) -> DataFrame:
+    """The whole engine's run (MS7): each metric's observations written under ``path``, then read as one table.
+
+    A metric is a job of its own, so a lost executor costs one metric at most; all read the same
+    stored frame.
+    """
     for m in metrics:
-        table = COMPUTE[m.kind](frame, m)
-        names = _AS.get(m.kind, {})
-        source = {c: names.get(c, c) for c in OBSERVATION}
-        own = [F.lit(m.slug).alias("slug")]
-        for c, kind in list(OBSERVATION.items())[1:]:
-            have = source[c] in table.columns
-            value = F.col(source[c]) if have else F.lit(False) if c == "suppressed" else F.lit(None)
-            own.append(value.cast(kind).alias(c))
-        parts.append(table.select(*own))
-    return reduce(DataFrame.unionByName, parts)
+        observation(frame, m).drop("slug").write.mode("overwrite").parquet(f"{path}/slug={m.slug}")
+    schema = ", ".join(f"{c} {kind}" for c, kind in OBSERVATION.items() if c != "slug")
+    return frame.sources.sparkSession.read.schema(f"{schema}, slug string").parquet(path).select(*OBSERVATION)
 
 
 def draft_summary(found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import cohorts
 from ..operators import validation as va
 from ..operators.graph import cut_lineage
 from ..sources.adapter import inputs, orders_frame
+from ..sources.shared import shared_dir
 from .cohort import _ALL, _LD1, covered
 
 QUERIES: dict = {}
@@ -63,10 +64,10 @@ def _scores(spark, sf_dir):
 _SC = "WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS member_id, l_suppkey AS judge_id, l_quantity / 100 AS predicted, CAST(l_returnflag = 'R' AS INT) AS outcome, l_linestatus AS attribute, l_shipdate AS index_at FROM lineitem)\n"
 
 
-@query("ad1_availability", "SELECT 'orders' AS source_id, * FROM (VALUES ('pretrial_release', NULL), ('rearrest', 'outcome'), ('x', 'judge_gate')) t(target, reason)")
+@query("ad1_availability", "SELECT 'orders' AS source_id, * FROM (VALUES ('pretrial_release', NULL), ('technical_violation', 'outcome'), ('x', 'judge_gate')) t(target, reason)")
 def ad1(spark, sf_dir):
     """AD1, MS36."""
-    return ad.availability(orders_frame(spark, sf_dir), [("pretrial_release", "deciding_judge", None), ("rearrest", "deciding_judge", "rearrest"), ("x", "none", None)])
+    return ad.availability(orders_frame(spark, sf_dir), [("pretrial_release", "deciding_judge", None), ("technical_violation", "deciding_judge", "technical_violation"), ("x", "none", None)])
 
 
 @query("ad30_feature_levels", _EV + "SELECT * FROM lv")
@@ -279,13 +280,11 @@ def ad21(spark, sf_dir):
 @query("ad28_model_catalogue")
 def ad28(spark, sf_dir):
     """AD23, AD27, AD28: one target is known already, the other is fitted, stored and verified."""
-    import tempfile
-
     from ..sources import files
 
     known = spark.createDataFrame([("new_case", 365)], "target string, window_days int")
     rows = ad.fit_missing(orders_frame(spark, sf_dir), [("new_case", 365), ("pretrial_release", None)], known)
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}"
+    root = shared_dir(spark)
     checked = [files.first_difference(r, files.read_artifact(spark, files.write_artifact(spark, f"{root}/models", r))) is None for r in rows]
     return spark.createDataFrame([(r["target"], r["window_days"], r["status"], r["rows"], r["events"], len(r["coefficients"]), ok) for r, ok in zip(rows, checked)], "target string, window_days int, status string, rows long, events long, coefficients int, verified boolean")
 

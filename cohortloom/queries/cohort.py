@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.columns import DAY_US, WINDOWS, Z, round6
 from ..operators import cohorts, gates, metrics, outcomes
 from ..plans.registry import ANCHORS, BY_SLUG, METRICS, Metric
 from ..sources.adapter import ORDERS_SOURCE, oracle_tables, orders_frame
+from ..sources.shared import shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,9 +190,6 @@ def _register_rates() -> None:
         if m.kind not in ("windowed_rate", "survival"):
             continue
         base = f"{head}{cohort_sql(m.population)},\n{outcome_sql(m.outcome)},\nboth_periods AS (SELECT oc.*, y.calendar_year FROM oc, UNNEST([NULL, CAST(year(index_at) AS INT)]) AS y(calendar_year))"
-        if m.outcome not in ("new_case", "reconviction", "failure_to_appear", "revocation"):
-            ORACLE_SQL[f"ag3_{m.slug}"] = "SELECT '' AS subject_type, '' AS subject_id, 0 AS calendar_year, 0 AS eligible, 0 AS window_days, 0 AS followed, 0 AS numerator, 0.0 AS rate, 0.0 AS low, 0.0 AS high, '' AS suppression_reason, false AS suppressed WHERE false"
-            continue
         windows = f"UNNEST([{', '.join(map(str, WINDOWS))}]) AS w(window_days)"
         keys = "subject_type, subject_id, calendar_year"
         reason = lambda n: f"{n} < {m.threshold} AS suppressed, CASE WHEN {n} < {m.threshold} THEN 'cohort_below_threshold' END AS suppression_reason"  # noqa: E731, B023
@@ -340,10 +340,10 @@ def ou2(spark, sf_dir):
     return outcomes.all_justice_events(orders_frame(spark, sf_dir)).select("person_id", "event_type", F.to_date("event_at").alias("event_at"), "related_case_id").distinct()
 
 
-@query("ou1_observability", "SELECT 'orders' AS source_id, * FROM (VALUES ('new_case', NULL, true), ('rearrest', NULL, false), ('revocation', 'release', true), ('revocation', 'parole', false)) t(outcome, scope, observable)")
+@query("ou1_observability", "SELECT 'orders' AS source_id, * FROM (VALUES ('new_case', NULL, true), ('rearrest', NULL, true), ('technical_violation', NULL, false), ('revocation', 'release', true), ('revocation', 'parole', false)) t(outcome, scope, observable)")
 def ou1(spark, sf_dir):
     """OU1."""
-    return outcomes.observability(orders_frame(spark, sf_dir), [("new_case", None), ("rearrest", None), ("revocation", "release"), ("revocation", "parole")])
+    return outcomes.observability(orders_frame(spark, sf_dir), [("new_case", None), ("rearrest", None), ("technical_violation", None), ("revocation", "release"), ("revocation", "parole")])
 
 
 _M = BY_SLUG["new_case_rate"]
@@ -376,16 +376,44 @@ def ou11(spark, sf_dir):
     return outcomes.durations(_release_cohort(spark, sf_dir)).select("member_id", "event", "duration_us")
 
 
-@query("ag11_observations")
+_DESCRIPTIVE = [m for m in METRICS if m.kind != "observed_expected"]
+_PREFIX = {"count": "ag1", "share": "ag2", "windowed_rate": "ag3", "survival": "ag4", "distribution": "ag5", "median": "ag6"}
+
+
+def observations_sql() -> str:
+    """SQL: every descriptive metric's rows in the one shape of observations, by the metric's own SQL."""
+    parts = []
+    for m in _DESCRIPTIVE:
+        own = [f"'{m.slug}' AS slug"]
+        for c, kind in list(metrics.OBSERVATION.items())[1:]:
+            if c == "source_id":
+                continue
+            have = metrics.columns_of(m).get(c)
+            value = have or ("false" if c == "suppressed" else "NULL")
+            kind = {"string": "VARCHAR", "long": "BIGINT"}.get(kind, kind.upper())
+            own.append(f"{'round(' if kind == 'DOUBLE' and have else ''}CAST({value} AS {kind}){', 6)' if kind == 'DOUBLE' and have else ''} AS {c}")
+        parts.append(f"SELECT {', '.join(own)} FROM ({ORACLE_SQL[_PREFIX[m.kind] + '_' + m.slug]}) AS t")
+    return " UNION ALL ".join(parts)
+
+
+def _run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/observations-{uuid.uuid4().hex}"
+    return metrics.run_all(orders_frame(spark, sf_dir), _DESCRIPTIVE, path)
+
+
+@query("ag11_observations", observations_sql())
 def ag11(spark, sf_dir):
-    """AG11, MS7, MS8: every descriptive metric but survival in one shape."""
-    return metrics.observations(orders_frame(spark, sf_dir), [m for m in METRICS if m.kind in ("count", "share", "median", "distribution")])
+    """AG11, MS7, MS8: one run of all descriptive metrics, every subject, stored in one shape."""
+    rows = _run_all(spark, sf_dir).drop("source_id")
+    # As the metrics' own queries round: survival at nine places first.
+    at_six = lambda c: F.round(F.when(F.col("slug").endswith("_survival"), F.round(c, 9)).otherwise(F.col(c)), 6)
+    return rows.withColumns({c: at_six(c) for c in ("value", "low", "high")})
 
 
-@query("ag12_draft_summary", None)
+@query("ag12_draft_summary", f"SELECT slug, count(*) AS observations FROM ({observations_sql()}) AS o GROUP BY slug")
 def ag12(spark, sf_dir):
     """AG12."""
-    return metrics.draft_summary(metrics.observations(orders_frame(spark, sf_dir), [BY_SLUG["eligible_cases"], BY_SLUG["sentence_count"]]))
+    return metrics.draft_summary(_run_all(spark, sf_dir))
 
 
 @query("ag16_round6", "SELECT l_orderkey, l_linenumber, round_even(l_discount * l_tax, 6) AS r FROM lineitem")

@@ -186,11 +186,10 @@ def va12(spark, sf_dir):
     return no.attribution_summary(_t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("disposition"), F.col("l_linestatus").alias("reason")), rules)
 
 
-@query("fn1_case_number", "SELECT doc_id, trim(regexp_replace(upper(trim(left(text, 40))), '[^A-Z0-9]+', '-', 'g'), '-') AS n FROM documents WHERE lang = 'en'")
+@query("fn1_case_number", "SELECT doc_id, sha256(trim(regexp_replace(upper(replace(trim(text), 'ß', 'SS')), '[^A-Z0-9]+', '-', 'g'), '-')) AS n FROM documents")
 def fn1(spark, sf_dir):
-    """FN1, on the beginnings of English texts as unruly numbers."""
-    d = _t(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select("doc_id", tx.case_number(F.left("text", F.lit(40))).alias("n"))
+    """FN1, on whole texts of every language as unruly numbers."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.case_number(F.col("text")), 256).alias("n"))
 
 
 @query("fn2_person_name")

@@ -8,6 +8,7 @@ from ..functions.columns import WINDOWS
 from ..operators import coverage, gates, members, outcomes, quality
 from ..operators import cohorts as co
 from ..sources.adapter import inputs, oracle_tables, orders_frame
+from ..sources.shared import shared_dir
 from .cohort import _ALL, _FOL, _HIT, _LD1, _OC, _SUBJECTS, _release_cohort, covered
 
 QUERIES: dict = {}
@@ -29,7 +30,7 @@ def query(name: str, sql: str | None = None):
 _T = f"WITH RECURSIVE {_ALL},\n{_LD1}\n"
 SERVICES = """SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_suppkey % 20 AS BIGINT) AS judge_id, CAST(s_nationkey % 3 AS BIGINT) AS court_id,
  CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE DATE '1990-01-01' + CAST(s_suppkey % 400 AS INT) END AS start_date,
- CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE DATE '1990-06-01' + CAST((s_suppkey * 7) % 500 AS INT) END AS end_date,
+ CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 17 = 3 THEN DATE '1989-12-01' ELSE DATE '1990-06-01' + CAST((s_suppkey * 7) % 500 AS INT) END AS end_date,
  concat('p', CAST(s_suppkey % 3 AS STRING)) AS position FROM {supplier}"""
 _SV = f"WITH services AS ({SERVICES.format(supplier='supplier')})\n"
 
@@ -221,10 +222,10 @@ def me5(spark, sf_dir):
     return members.project(_members(spark, sf_dir), year=1997, slot=3).select("subject_id", "member_id", "counted", "followed", "multiplicity")
 
 
-@query("me6_missing_members", "SELECT 'd0' AS member_id WHERE false")
+@query("me6_missing_members", _MB + "SELECT DISTINCT member_id FROM mb WHERE member_id NOT IN (SELECT id FROM decisions WHERE CAST(case_id AS BIGINT) % 7 <> 0)")
 def me6(spark, sf_dir):
-    """ME6, JO9: none is missing."""
-    return members.missing_members(_members(spark, sf_dir), orders_frame(spark, sf_dir).decisions)
+    """ME6, JO9: against decisions of which some are gone."""
+    return members.missing_members(_members(spark, sf_dir), orders_frame(spark, sf_dir).decisions.where("CAST(case_id AS BIGINT) % 7 <> 0"))
 
 
 @query("me7_publish_plan", "SELECT 'court' AS subject_type, CAST(c_nationkey AS VARCHAR) AS subject_id, CASE WHEN c_nationkey % 4 = 0 THEN 'extra' WHEN c_nationkey % 4 = 1 THEN 'missing' WHEN c_nationkey % 4 = 2 THEN 'mismatch' ELSE 'equal' END AS status, CASE WHEN c_nationkey % 4 = 0 THEN 'supersede' WHEN c_nationkey % 4 = 1 THEN 'insert' WHEN c_nationkey % 4 = 2 THEN 'replace' ELSE 'keep' END AS action FROM (SELECT DISTINCT c_nationkey FROM customer)")
@@ -315,12 +316,10 @@ def me14(spark, sf_dir):
 @query("sc19_member_store", _MB + "SELECT subject_id, count(*) AS n FROM mb GROUP BY ALL")
 def sc19(spark, sf_dir):
     """SC19, MS11: members written by subject, read again and expanded."""
-    import tempfile
     import uuid
 
     from ..sources.files import write_members
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}"
-    path = f"{root}/members-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/members-{uuid.uuid4().hex}"
     write_members(_members(spark, sf_dir), path)
     return members.expand(spark.read.parquet(path)).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cohorts, members, serving
 from ..sources import files
-from ..sources.adapter import inputs, orders_frame
+from ..sources.adapter import inputs, oracle_tables, orders_frame
+from ..sources.shared import shared_dir
 from .cohort import _ALL, _LD1
 from .record import SERVICES, services
 
@@ -31,10 +33,6 @@ def query(name: str, sql: str | None = None):
 _T = f"WITH RECURSIVE {_ALL},\n{_LD1}\n"
 
 
-def _shared(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}"
-
-
 def _observations(spark, sf_dir):
     """One figure per supplier, with two periods and some figures withheld."""
     s = inputs(spark, sf_dir, "supplier")["supplier"]
@@ -152,11 +150,12 @@ def fi14(spark, sf_dir):
     return g["orders"].join(g["customer"].where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("st4_set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("st4_set_difference", "SELECT c_custkey AS member_id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def st4(spark, sf_dir):
-    """ST4."""
+    """ST4: customers without an urgent order."""
     g = inputs(spark, sf_dir, "orders", "customer")
-    return g["customer"].select("c_custkey").join(g["orders"].select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").distinct()
+    urgent = g["orders"].where("o_orderpriority = '1-URGENT'")
+    return members.missing_members(g["customer"].select(F.col("c_custkey").alias("member_id")), urgent.select(F.col("o_custkey").alias("id")))
 
 
 @query("ld5_earliest_charge", _T + "SELECT case_id, arg_min(coalesce(source_row_id, '~'), (filed_at, coalesce(source_row_id, '~'))) AS first_key FROM charges GROUP BY ALL")
@@ -189,34 +188,40 @@ def sc3(spark, sf_dir):
     return files.sources_with_cases(f.sources, f.cases).select("source_id")
 
 
-@query("sc4_build_tables", _T + "SELECT case_id, count(*) AS n FROM sentences WHERE CAST(case_id AS BIGINT) % 3 <> 0 AND coalesce(incarceration_days, 0) <= 150 GROUP BY ALL")
+_MERGED = "CASE WHEN CAST(person_id AS BIGINT) % 5 = 1 THEN CAST(CAST(person_id AS BIGINT) - 1 AS VARCHAR) ELSE person_id END"
+
+
+@query("sc4_build_tables", _T + f"SELECT case_id, min({_MERGED}) AS person_id, count(*) AS n FROM sentences WHERE CAST(case_id AS BIGINT) % 3 <> 0 AND coalesce(incarceration_days, 0) <= 150 GROUP BY ALL")
 def sc4(spark, sf_dir):
-    """SC4, SC13, JO17, MS4: sentences of known cases that are not replaced."""
+    """SC4, SC13, JO17, MS4: sentences of known cases that are not replaced, of merged persons the survivors'."""
     f = orders_frame(spark, sf_dir)
     tables = f.tables | {"cases": f.cases.where("CAST(id AS BIGINT) % 3 <> 0"), "sentences": f.sentences.withColumn("replaced", F.col("incarceration_days") > 150)}
-    none = spark.createDataFrame([], "id string, survivor string")
-    return files.build_tables(tables, none)["sentences"].groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    number = F.col("id").cast("long")
+    merges = f.persons.where(number % 5 == 1).select("id", (number - 1).cast("string").alias("survivor"))
+    return files.build_tables(tables, merges)["sentences"].groupBy("case_id").agg(F.min("person_id").alias("person_id"), F.count(F.lit(1)).alias("n"))
 
 
 @query("sc6_read_export", "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 <> 0 AND CAST(o_orderdate AS DATE) BETWEEN '1996-01-01' AND '2000-12-31' THEN CAST(o_orderdate AS DATE) END AS day FROM orders WHERE o_orderkey % 7 <> 0")
 def sc6(spark, sf_dir):
     """SC5, SC6, SC9, MS28: orders written as a CSV export and read by our rules."""
     o = inputs(spark, sf_dir, "orders")["orders"]
-    at = f"{_shared(spark)}/export-{members.__name__}-{id(o)}"
+    at = f"{shared_dir(spark)}/export-{members.__name__}-{id(o)}"
     k = F.col("o_orderkey")
     day = F.when(k % 10 == 0, F.lit("soon")).when(k % 2 == 0, F.date_format("o_orderdate", "MM/dd/yyyy hh:mm:ss a")).otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
     o.select(F.when(k % 7 != 0, F.concat(F.lit(" "), k.cast("string"))).alias("id"), day.alias("day")).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(at)
     return files.read_export(files.CONNECTORS["csv"](spark, at, ["id", "day"]), ["id"], ["id"], ["day"], "1996-01-01", "2000-12-31")
 
 
-@query("sc12_snapshot", _T + "SELECT 'cases' AS name, count(*) AS n FROM cases UNION ALL SELECT 'courts', count(*) FROM courts UNION ALL SELECT 'persons', count(*) FROM persons")
+_SNAPSHOT = {"assignments": "assignments", "cases": "cases", "charges": "charges", "courts": "courts", "decisions": "decisions", "events": "case_events", "justice_events": "justice_events", "persons": "persons", "sentences": "sentences"}
+
+
+@query("sc12_snapshot", f"WITH {oracle_tables(*_SNAPSHOT)} " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {t}" for n, t in _SNAPSHOT.items()) + " UNION ALL SELECT 'sources', 1")
 def sc12(spark, sf_dir):
-    """SC1, SC2, SC12, SC14-SC16, SC20, MS5, MS6: a snapshot written, verified and read."""
+    """SC1, SC2, SC12, SC14-SC16, SC20, MS5, MS6: a snapshot of all tables written, verified and read."""
     f = orders_frame(spark, sf_dir)
-    path = files.export_snapshot(spark, {n: f.tables[n] for n in ("cases", "courts", "persons")}, f"{_shared(spark)}/snapshots")
-    tables = files.open_snapshot(spark, path)
-    parts = [t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, t in tables.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    path = files.export_snapshot(spark, f.tables | {"sources": f.sources}, f"{shared_dir(spark)}/snapshots")
+    parts = [t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, t in files.open_snapshot(spark, path).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("ms27_artifacts_to_read", "SELECT page_id AS artifact FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 0")

@@ -160,20 +160,22 @@ def read_artifact(spark: SparkSession, path: str) -> dict:
     return json.loads(text)
 
 
-def first_difference(a, b, at: str = "$") -> str | None:
-    """The first place where two artifacts differ (AD27)."""
-    if isinstance(a, dict) and isinstance(b, dict):
-        for k in sorted(a.keys() | b.keys()):
-            if k not in a or k not in b:
-                return f"{at}.{k}"
-            if found := first_difference(a[k], b[k], f"{at}.{k}"):
-                return found
-        return None
-    if isinstance(a, list) and isinstance(b, list):
-        if len(a) != len(b):
-            return f"{at}[{min(len(a), len(b))}]"
-        return next((f for i, (x, y) in enumerate(zip(a, b)) if (f := first_difference(x, y, f"{at}[{i}]"))), None)
-    return None if a == b else at
+def _leaves(value, path: str = "$") -> dict[str, str]:
+    """Path of every leaf of an artifact, with its canonical text; empty containers are leaves."""
+    todo, out = [(path, value)], {}
+    while todo:
+        at, v = todo.pop()
+        inner = [(f"{at}.{k}", x) for k, x in v.items()] if isinstance(v, dict) else [(f"{at}[{i}]", x) for i, x in enumerate(v)] if isinstance(v, list) else []
+        if inner:
+            todo += inner
+        else:
+            out[at] = json.dumps(v)
+    return out
+
+
+def first_difference(a, b) -> str | None:
+    """The smallest path, as text, at which two artifacts hold another value or only one holds any (AD27)."""
+    return min((path for path, _ in _leaves(a).items() ^ _leaves(b).items()), default=None)
 
 
 def significant(value: float, digits: int = 12) -> float:
@@ -181,10 +183,10 @@ def significant(value: float, digits: int = 12) -> float:
     return float(f"{value:.{digits - 1}e}")
 
 
-def render_table(rows: DataFrame, columns: list[str], limit: int = 200) -> str:
-    """A small result as a Markdown table (SC22)."""
+def render_table(rows: DataFrame, columns: list[str]) -> str:
+    """A result as a Markdown table, fetched a partition at a time (SC22)."""
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.select(*columns).limit(limit).collect()]
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.select(*columns).toLocalIterator()]
     return "\n".join(lines)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,10 @@ EVENTS = T.StructType(
 )
 
 
-def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    """A stream of the event files of a folder."""
-    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
+def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the event files of a folder, a number of files in each batch."""
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern)
+    rows = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -47,18 +48,53 @@ def sessions(events: DataFrame, gap: str = "1 hour", delay: str = "1 hour") -> D
     return w.select(F.col("session_window.start").alias("session_start"), "user_id", "n")
 
 
-def recompute_impacted(rows: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """For each batch, recompute the subjects it touches and replace their partitions.
+def censored(rows: DataFrame, pairs: DataFrame, index_type: str, days: int) -> DataFrame:
+    """Rows (index_id, followed, outcomes): outcomes of each index event, and whether the events
+    seen reach beyond its follow-up window; where they do not it is right-censored."""
+    end = rows.agg(F.max("ts").alias("covered_to"))
+    index = rows.where(F.col("event_type") == index_type).select(F.col("event_id").alias("index_id"), "ts")
+    counts = pairs.groupBy("index_id").agg(F.count("outcome_id").alias("outcomes"))
+    followed = F.col("ts") + F.expr(f"INTERVAL {days} DAYS") < F.col("covered_to")
+    # One row tells where coverage ends.
+    return index.crossJoin(F.broadcast(end)).join(counts, "index_id", "left").select("index_id", followed.alias("followed"), F.coalesce("outcomes", F.lit(0)).alias("outcomes"))
 
-    A batch that is run again writes the same partitions again.
+
+#: Parts in which stored rows lie by subject, so that a batch reads those of its own subjects.
+SLOTS = 64
+
+
+def recompute_impacted(rows: DataFrame, path: str, subject: Column, compute: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """Keep the rows of every batch and recompute the subjects it touches from all rows so far.
+
+    ``path/rows`` has what came in, by batch and slot; ``path/subjects`` has, by subject, what
+    ``compute`` makes of all rows (with subject_id) of the touched subjects. A batch that is
+    run again replaces its own rows and the same subjects, so nothing counts twice, and a
+    restart from the checkpoint goes on with what is stored.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
-        compute(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject_id").parquet(path)
+    def each(batch: DataFrame, number: int) -> None:
+        spark, own = batch.sparkSession, f"{path}/rows/batch={number}"
+        placed = batch.withColumn("subject_id", subject).where("subject_id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("subject_id"), F.lit(SLOTS)).cast("int"))
+        shape = placed.schema
+        placed.write.mode("overwrite").partitionBy("slot").parquet(own)
+        if not (slots := [r.slot for r in spark.read.schema(shape).parquet(own).select("slot").distinct().collect()]):  # SLOTS at most
+            return
+        touched = spark.read.schema(shape).parquet(own).select("subject_id").distinct()
+        stored = spark.read.schema(T.StructType([*shape, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+        # Batches after this one are there only if it is run again; they will recompute their own.
+        mine = stored.where(F.col("slot").isin(slots) & (F.col("batch") <= number)).drop("slot", "batch").join(touched, "subject_id", "left_semi")
+        compute(mine).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject_id").parquet(f"{path}/subjects")
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_to_result(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Write the whole result of an aggregating stream once its input is used up, groups that no
+    watermark has closed included: each batch replaces what the one before left."""
+    replace = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    rows.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_to_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Write a stream to Parquet until its input is used up."""
     rows.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
