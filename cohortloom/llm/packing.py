@@ -32,9 +32,9 @@ from .token_counts import load_tokenizer
 #: Pieces that are packed together; more pieces make more groups, each packed apart.
 GROUP = 60_000
 #: Characters of text whose words are looked up at a time.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 23
 #: Separators that Python's split takes for white space and the tokenizer does not.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r ]+")
 
 
@@ -129,7 +129,7 @@ def words_of(text: str, rules: WordRules) -> list[str]:
     so (unless that could spell an added token). Whole texts where words do not stand apart."""
     if not rules.apart:
         return [text]
-    if _NOT_SPACE.search(text):
+    if any(c in text for c in _NOT_SPACE):
         return _SPACE.split(text)
     if rules.lower and text.isascii() and not any(m in text for m in rules.marks):
         text = text.lower()

@@ -41,7 +41,9 @@ SKETCH = 32
 #: Sets of one bucket that one task compares, and machine words of lanes compared at a time.
 BUCKET, SLICE_WORDS = 2048, 1 << 14
 #: Shingles counted together in a task, how often one must occur there, and most of the common ones.
-COUNTED, COMMON_IN, MOST_COMMON = 1 << 20, 3, 1 << 16
+COUNTED, COMMON_IN, MOST_COMMON = 1 << 19, 3, 1 << 16
+#: Slots in which shingles meet, for each shuffle partition of the session.
+SLOTS = 4
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -131,6 +133,12 @@ def shared_shingles(docs: DataFrame, width: int, common: np.ndarray, slots: int)
         for slot in sorted(held):
             parts = held.pop(slot)
             item, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            del parts
+            # Most shingles are alone: only the others are put in order with their nodes.
+            order = np.argsort(item)
+            alone = np.diff(np.append(group_starts([item[order]]), len(item)))
+            order = order[np.repeat(alone, alone) > 1]
+            item, node = item[order], node[order]
             order = np.lexsort((node, item))
             item, node = item[order], node[order]
             once = group_starts([item, node])  # equal texts are one node
@@ -322,7 +330,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     sets = store(shingle_sets(docs, width), "sets")
-    shared = shared_shingles(docs, width, common_shingles(docs, width), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = shared_shingles(docs, width, common_shingles(docs, width), SLOTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
     drawn = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     posted = store(prefixes(sets, shared, least).join(drawn, "node"), "posted")
     firsts = posted.groupBy("item").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("node", "n", "fp")).alias("first")).where("sets > 1").drop("sets")
