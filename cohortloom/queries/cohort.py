@@ -384,14 +384,14 @@ def observations_sql() -> str:
     """SQL: every descriptive metric's rows in the one shape of observations, by the metric's own SQL."""
     parts = []
     for m in _DESCRIPTIVE:
-        own = [f"'{m.slug}' AS slug"]
+        own, end = [f"'{m.slug}' AS slug"], ", 9)" if m.kind == "survival" else ", 6)"
         for c, kind in list(metrics.OBSERVATION.items())[1:]:
             if c == "source_id":
                 continue
             have = metrics.columns_of(m).get(c)
             value = have or ("false" if c == "suppressed" else "NULL")
             kind = {"string": "VARCHAR", "long": "BIGINT"}.get(kind, kind.upper())
-            own.append(f"{'round(' if kind == 'DOUBLE' and have else ''}CAST({value} AS {kind}){', 6)' if kind == 'DOUBLE' and have else ''} AS {c}")
+            own.append(f"{'round(' if kind == 'DOUBLE' and have else ''}CAST({value} AS {kind}){end if kind == 'DOUBLE' and have else ''} AS {c}")
         parts.append(f"SELECT {', '.join(own)} FROM ({ORACLE_SQL[_PREFIX[m.kind] + '_' + m.slug]}) AS t")
     return " UNION ALL ".join(parts)
 
@@ -405,9 +405,9 @@ def _run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ag11(spark, sf_dir):
     """AG11, MS7, MS8: one run of all descriptive metrics, every subject, stored in one shape."""
     rows = _run_all(spark, sf_dir).drop("source_id")
-    # As the metrics' own queries round: survival at nine places first.
-    at_six = lambda c: F.round(F.when(F.col("slug").endswith("_survival"), F.round(c, 9)).otherwise(F.col(c)), 6)
-    return rows.withColumns({c: at_six(c) for c in ("value", "low", "high")})
+    # As the metrics' own queries round: survival at nine places.
+    tidy = lambda c: F.when(F.col("slug").endswith("_survival"), F.round(c, 9)).otherwise(F.round(c, 6))
+    return rows.withColumns({c: tidy(c) for c in ("value", "low", "high")})
 
 
 @query("ag12_draft_summary", f"SELECT slug, count(*) AS observations FROM ({observations_sql()}) AS o GROUP BY slug")
