@@ -11,12 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+
 #: A single space between two characters that are not white space.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: White space beside spaces and line ends.
 _OTHER = re.compile(r"[^\S \n]")
 #: Bytes of pieces and values that a Python worker remembers, about.
-REMEMBERED_BYTES = 144 << 20
+REMEMBERED_BYTES = 128 << 20
 #: Bytes that an entry takes beside its characters: two objects and a place in a table.
 ENTRY_BYTES = 190
 #: Characters up to which a piece is remembered.
@@ -37,6 +39,13 @@ def once_per_worker(purpose: str, key: tuple, make: Callable[[], object]):
     return held[1]
 
 
+def forget() -> None:
+    """Drop what the tokenizer operators keep: a worker's memory is for the operator at work."""
+    if _made:
+        _made.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def byte_level_pieces(text: str) -> list[str]:
     """Pieces of a text, cut at every safe place; all but the first lost their space."""
     if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text):

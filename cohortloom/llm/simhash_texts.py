@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import chunk_pairs, group_starts, release, spanning_labels, store, texts_of, whole_groups
 from .components import connected_components, named_components
+from .pieces import forget
 from .simhash import SEED, majority, near_pair_slices, shingle_hashes
 
 #: Words in a shingle, and Jaccard likeness from which texts link.
@@ -195,6 +196,7 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:

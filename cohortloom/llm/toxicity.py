@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
+from .pieces import forget
 from .sampling import is_held_out, spread_sample
 
 #: Documents of each label that the model learns from, at most.
@@ -36,7 +37,7 @@ THRESHOLD = 0.3
 #: Lengths of the word beginnings that have weights of their own.
 HEADS = (4, 5, 6)
 #: Words whose summed weights a task remembers.
-CACHE = 300_000
+CACHE = 150_000
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -221,6 +222,7 @@ def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array([shared.value.score(t or "") < threshold for t in texts], pa.bool_()))
