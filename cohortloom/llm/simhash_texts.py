@@ -263,7 +263,9 @@ def _candidates(radius: int, least: float, forest: bool):
                 n_a = np.add.reduceat(in_a.astype(np.int64), starts)
                 low = np.where(cross, np.repeat(starts + n_a, size), low)
                 high = np.where(cross & ~in_a, low, high)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            # Items of a forest are the components of each bucket.
+            place = np.unique(np.stack([group, c]), axis=1, return_inverse=True)[1].reshape(-1)
+            held = [np.zeros(0, dtype=np.int64)] * 3
             for u, v in near_pair_slices(fp.view(np.uint64), low, high, radius, SLICE_WORDS):
                 fits = (c[u] != c[v]) & (np.minimum(n[u], n[v]) >= least * np.maximum(n[u], n[v]) - 1e-9)
                 u, v = u[fits], v[fits]
@@ -272,17 +274,19 @@ def _candidates(radius: int, least: float, forest: bool):
                     k = slice(i, i + (1 << 14))
                     bits[k] = np.bitwise_count(slots[u[k]] ^ slots[v[k]]).sum(axis=1)
                 near = bits <= _most_bits(n[u] + n[v], least)
-                found.append((u[near], v[near], bits[near]))
-            if not found:
-                continue
-            u, v, bits = (np.concatenate(x) for x in zip(*found))
-            if forest:
-                # Items of the forest are the components of each bucket.
-                _, place = np.unique(np.stack([group, c]), axis=1, return_inverse=True)
-                place = place.reshape(-1)
-                pick = lightest_forest(int(place.max()) + 1, place[u], place[v], bits)
-                u, v = u[pick], v[pick]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[u], node[v])), pa.array(np.maximum(node[u], node[v]))], schema=out)
+                u, v, bits = u[near], v[near], bits[near]
+                if not forest:
+                    yield pairs(node, u, v)
+                elif len(u):
+                    # The forest of a forest and more links is that of all links.
+                    u, v, bits = (np.concatenate(x) for x in zip(held, (u, v, bits)))
+                    pick = lightest_forest(int(place.max()) + 1, place[u], place[v], bits)
+                    held = [u[pick], v[pick], bits[pick]]
+            if len(held[0]):
+                yield pairs(node, held[0], held[1])
+
+    def pairs(node: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[u], node[v])), pa.array(np.maximum(node[u], node[v]))], schema=out)
 
     return run
 
