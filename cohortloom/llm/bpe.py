@@ -299,6 +299,26 @@ class Encoder:
         return array("I", b"".join(next(self.encode_block([text])))).tolist()
 
 
+class Written(dict):
+    """Decimal numbers, joined by commas, of the ids of pieces; each distinct piece once."""
+
+    def __missing__(self, ids: bytes) -> str:
+        found = self[ids] = ",".join(map(str, array("I", ids)))
+        return found
+
+
+class Spelled(dict):
+    """Bytes that the ids of pieces decode to; each distinct piece once."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.bytes_of = vocabulary.bytes_of
+
+    def __missing__(self, ids: bytes) -> bytes:
+        found = self[ids] = b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
+        return found
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (word binary, n): words of all texts and how often tasks met them.
 
@@ -372,19 +392,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, name)
-        vocabulary = encoder.vocabulary
-        number, of_id = once_per_worker("bpe tables", (path,), lambda: ([str(i) for i in range(max(vocabulary.bytes_of) + 1)], [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)]))
         for batch in batches:
             texts = texts_of(batch, "text")
             counts: list[int] = []
             ids_sha: list[str] = []
             decoded_sha: list[str] = []
             for a, b in text_blocks(texts, BLOCK_CHARS):
+                written, spelled = Written(), Spelled(encoder.vocabulary)
                 for pieces in encoder.encode_block(texts[a:b]):
-                    ids = array("I", b"".join(pieces)).tolist()
-                    text = b"".join(map(of_id.__getitem__, ids)).decode("utf-8", "replace")
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest())
+                    text = b"".join(map(spelled.__getitem__, pieces)).decode("utf-8", "replace")
+                    counts.append(sum(map(len, pieces)) // 4)
+                    ids_sha.append(hashlib.sha256(",".join(map(written.__getitem__, pieces)).encode()).hexdigest())
                     decoded_sha.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=names)
 
