@@ -32,10 +32,12 @@ from .token_counts import load_tokenizer
 #: Pieces that are packed together; more pieces make more groups, each packed apart.
 GROUP = 60_000
 #: Characters of text whose words are looked up at a time.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 23
 #: Separators that Python's split takes for white space and the tokenizer does not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r ]+")
+#: Letters before ASCII marks: the split finds the letters, then the marks.
+_MARKED = re.compile(r"[^\W\d_]+[!-/:-@\[-`{-~]+")
 
 
 @dataclass(frozen=True)
@@ -139,8 +141,9 @@ def words_of(text: str, rules: WordRules) -> list[str]:
 def word_ids(tokenizer):
     """A function from words to their ids as bytes, four each.
 
-    Where the vocabulary marks word ends, words of plain Latin letters are encoded as one text
-    of words and told apart by the marks; all others one by one.
+    Where the vocabulary marks the ends of what its split finds, words of plain Latin letters,
+    alone or before ASCII marks, are encoded as one text of words and told apart by these
+    ends; all others one by one.
     """
     if not hasattr(tokenizer, "encode_batch_fast"):
         return lambda words: [array("I", ids).tobytes() for ids in tokenizer.encode(words, num_threads=1)]
@@ -152,18 +155,29 @@ def word_ids(tokenizer):
     ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def ids_of(words: list[str]) -> list[bytes]:
-        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0130")]
-        ids = np.array(tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+    def together(words: list[str], parts: int) -> list[bytes]:
+        """Ids of words that the split finds in ``parts`` parts each."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = 4 * (np.flatnonzero(ends[ids]) + 1)
-        if len(stops) != len(plain):
+        if len(stops) != parts * len(words):
             return alone(words)
         data, begin, found = ids.tobytes(), 0, []
-        for stop in stops.tolist():
+        for stop in stops[parts - 1 :: parts].tolist():
             found.append(data[begin:stop])
             begin = stop
-        of = dict(zip(plain, found))
-        others = [w for w in words if w not in of]
+        return found
+
+    def ids_of(words: list[str]) -> list[bytes]:
+        plain, marked, others = [], [], []
+        for w in words:
+            if not (w.isascii() or max(w) < "\u0130"):
+                others.append(w)
+            elif w.isalpha():
+                plain.append(w)
+            else:
+                (marked if _MARKED.fullmatch(w) else others).append(w)
+        of = dict(zip(plain, together(plain, 1)))
+        of.update(zip(marked, together(marked, 2)))
         of.update(zip(others, alone(others)))
         return [of[w] for w in words]
 

@@ -18,7 +18,7 @@ _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: White space beside spaces and line ends.
 _OTHER = re.compile(r"[^\S \n]")
 #: Bytes of pieces and values that a Python worker remembers, about.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 224 << 20
 #: Bytes that an entry takes beside its characters: two objects and a place in a table.
 ENTRY_BYTES = 190
 #: Characters up to which a piece is remembered.
