@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -156,3 +157,11 @@ def test_empty_tables(spark):
     assert token_counts.token_counts(none, BYTE).collect() == []
     assert bpe.encode(none, BYTE).collect() == []
     assert packing.pack_documents(none, WORD).collect() == []
+
+
+def test_words_encoded_together_equal_words_alone():
+    tokenizer = token_counts.load_tokenizer(WORD)
+    words = ["plain", "éaux", "ends,", "éaux###", "it's", "don't,", "a'", "a''", "x_", "x_y", "a1", "1,", ",,", "a<|", "<|endoftext|>", "İx", "日本,", "ª.", "µ!", "Mixed***", "éa,", "a-b", "x\x1cy", "$$$", "ſt,", ""]
+    for some in (words, words[:3], words[4:], [], ["a,"], ["plain"]):
+        want = [array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in some]
+        assert packing.word_ids(tokenizer)(some) == want
