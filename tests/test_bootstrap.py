@@ -35,3 +35,27 @@ def test_intervals_of_all_judges(spark):
     assert set(got) == set(want)
     for j in want:
         assert got[j] == pytest.approx(want[j], rel=1e-6)
+
+
+def test_persons_may_be_many(spark):
+    rows = spark.range(1_000_010).selectExpr("id % 3 AS judge_id", "CAST(id AS string) AS person_id", "CAST(id % 2 AS int) AS outcome", "0.5D AS predicted")
+    assert {(r.judge_id, r.replicates) for r in ad.bootstrap_intervals(rows, 7, "bootstrap:x:none", 2).collect()} == {(0, 2), (1, 2), (2, 2)}
+
+
+def test_places_follow_the_sorted_persons(spark):
+    names = [f"p{i}" for i in range(500)]
+    rows, n = ad._placed(spark.createDataFrame([(x,) for x in names * 2], "person_id string").repartition(7))
+    assert n == 500 and {(r.person_id, r.place) for r in rows.collect()} == {(x, i) for i, x in enumerate(sorted(names))}
+
+
+def test_a_judge_of_several_tasks_has_whole_sums(spark):
+    rows = spark.range(90_000).selectExpr("CAST(id % 500 AS int) AS place", "if(id % 10 = 0, id % 7, -1) AS judge_id", "CAST(id % 2 AS int) AS outcome", "0.25D AS predicted")
+    rows = ad._in_tasks(rows, "judge_id")
+    parts = rows.where("judge_id = -1").selectExpr("spark_partition_id() AS i").distinct().count()
+    sums = ad._judge_sums(rows, (7, "bootstrap:x:none", 500, 3)).collect()
+    assert parts > 1 and len(sums) == 8
+    place, judge = np.arange(90_000) % 500, np.where(np.arange(90_000) % 10 == 0, np.arange(90_000) % 7, -1)
+    for r, drawn in enumerate(ad._draws(7, "bootstrap:x:none", 500, 3)):
+        for s in sums:
+            at = judge == s.judge_id
+            assert s.drawn[r] == drawn[place][at].sum() and s.expected[r] == pytest.approx(0.25 * s.drawn[r])
