@@ -110,19 +110,19 @@ def ad16(spark, sf_dir):
 @query("ag10_pretrial_release_observed_expected")
 def ag10(spark, sf_dir):
     """AG10, AD17-AD22, MS17-MS19."""
-    return ad.observed_expected(orders_frame(spark, sf_dir), "pretrial_release")
+    return ad.observed_expected(orders_frame(spark, sf_dir, stored=False), "pretrial_release")
 
 
 @query("ag10_new_case_observed_expected")
 def ag10b(spark, sf_dir):
     """AG10 for new cases within a year."""
-    return ad.observed_expected(orders_frame(spark, sf_dir), "new_case", 365)
+    return ad.observed_expected(orders_frame(spark, sf_dir, stored=False), "new_case", 365)
 
 
 @query("ag10_failure_to_appear_observed_expected")
 def ag10c(spark, sf_dir):
     """AG10 for failures to appear within a year."""
-    return ad.observed_expected(orders_frame(spark, sf_dir), "failure_to_appear", 365)
+    return ad.observed_expected(orders_frame(spark, sf_dir, stored=False), "failure_to_appear", 365)
 
 
 @query("ad19_pooled_ratios", _SC + "SELECT judge_id, (20.0 + sum(outcome)) / (20.0 + round(sum(predicted), 2)) AS ratio FROM s GROUP BY ALL")
