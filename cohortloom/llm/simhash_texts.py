@@ -39,8 +39,9 @@ SHINGLE, LEAST = 5, 0.8
 WIDE = 24
 #: Machine words of a sketch.
 SKETCH = 32
-#: Sets of one bucket that one task compares, and machine words of lanes compared at a time.
-BUCKET, SLICE_WORDS = 2048, 1 << 14
+#: Sets of one bucket that one task compares, and machine words of lanes compared at a time: among
+#: near copies every lane of a word is a pair, so these bound what a task holds.
+BUCKET, SLICE_WORDS = 2048, 1 << 12
 #: Shingles counted together in a task, how often one must occur there, and most of the common ones.
 COUNTED, COMMON_IN, MOST_COMMON = 1 << 19, 3, 1 << 16
 #: Slots in which shingles meet, for each shuffle partition of the session.
