@@ -31,8 +31,10 @@ from .token_counts import load_tokenizer
 
 #: Pieces that are packed together; more pieces make more groups, each packed apart.
 GROUP = 60_000
+#: Texts that a task has as Python strings at a time.
+TEXTS = 512
 #: Characters of text whose words are looked up at a time.
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 20
 #: Separators that Python's split takes for white space and the tokenizer does not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r ]+")
@@ -205,7 +207,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = once_per_worker("word ids", (path,), lambda: PieceCache(word_ids(load_tokenizer(path))))
         step = 4 * length
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             rows: list[tuple] = []
             for doc_id, found in zip(batch.column(0).to_pylist(), encoded_blocks(texts_of(batch, "text"), rules, ids_of)):
                 data = b"".join(found) + end

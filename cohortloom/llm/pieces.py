@@ -8,6 +8,7 @@ each block looks its distinct pieces up once.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,7 +19,7 @@ _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: White space beside spaces and line ends.
 _OTHER = re.compile(r"[^\S \n]")
 #: Bytes of pieces and values that a Python worker remembers, about.
-REMEMBERED_BYTES = 224 << 20
+REMEMBERED_BYTES = 128 << 20
 #: Bytes that an entry takes beside its characters: two objects and a place in a table.
 ENTRY_BYTES = 190
 #: Characters up to which a piece is remembered.
@@ -40,10 +41,15 @@ def once_per_worker(purpose: str, key: tuple, make: Callable[[], object]):
 
 
 def forget() -> None:
-    """Drop what the tokenizer operators keep: a worker's memory is for the operator at work."""
+    """Drop what the tokenizer operators keep: a worker's memory is for the operator at work.
+
+    The C library keeps what was freed in small parts until it is told to return it.
+    """
     if _made:
         _made.clear()
         pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def byte_level_pieces(text: str) -> list[str]:

@@ -75,6 +75,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     names = ["doc_id", "text_key", "node", "n", "fp", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             nodes, sizes, prints, sketches = [], [], [], []
             for text in texts_of(batch, "text"):
