@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -77,7 +77,7 @@ def band(count, top: int):
 
 def index_charges(frame: Frame, events: DataFrame) -> DataFrame:
     """The person's charges of the index case filed before the decision (AD4, JO7)."""
-    own = frame.charges.select("source_id", "case_id", "person_id", F.col("id").alias("charge_id"), "filed_at", "severity", "offense_category", "source_row_id")
+    own = frame.charges_of(events).select("source_id", "case_id", "person_id", F.col("id").alias("charge_id"), "filed_at", "severity", "offense_category", "source_row_id")
     return events.select(*KEY, "case_id", "person_id", "decision_at").join(own, ["source_id", "case_id", "person_id"]).where("filed_at < decision_at")
 
 
@@ -321,6 +321,37 @@ def _log_likelihood(shape: float, counts: np.ndarray, at: np.ndarray, observed:
     return float((rising + shape * np.log(shape / (shape + expected)) + observed * np.log(expected / (shape + expected))).sum())
 
 
+def _likelihood_of_shapes(observed: np.ndarray, expected: np.ndarray, block: int = 16) -> Callable[[float], float]:
+    """The log-likelihood as a function of the shape alone.
+
+    Judges of one count share a weight, so they stand in blocks whose factors 1 + E / shape
+    are multiplied before one logarithm is taken. A block's product stays finite up to
+    expected counts of 1e18; a block's empty places have the factor 1.
+    """
+    counts, place, own = np.unique(observed, return_inverse=True, return_counts=True)
+    order = np.argsort(place, kind="stable")
+    blocks = -(-own // block)
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(own) - own, own)
+    first = np.repeat(np.cumsum(blocks) - blocks, own)
+    held, logs = np.zeros((block, int(blocks.sum()))), np.zeros((block, int(blocks.sum())))
+    to = (rank % block, first + rank // block)
+    held[to] = expected[order]
+    logs[to] = np.log(held[to])
+    logs, members = logs.sum(axis=0), (held > 0).sum(axis=0)
+    weight, factors = np.repeat(counts, blocks), np.empty_like(held)
+    fixed = [math.lgamma(o + 1) for o in counts.tolist()]
+
+    def at(shape: float) -> float:
+        np.multiply(held, 1.0 / shape, out=factors)
+        np.add(factors, 1.0, out=factors)
+        product = np.log(np.multiply.reduce(factors, axis=0))
+        start = math.lgamma(shape)
+        rising = own @ np.array([math.lgamma(shape + o) - start - f for o, f in zip(counts.tolist(), fixed)])
+        return float(rising + (weight * (logs - members * math.log(shape) - product) - shape * product).sum())
+
+    return at
+
+
 def fit_shape(observed: np.ndarray, expected: np.ndarray, bounds: tuple[float, float] = (0.5, 1000.0), grid: int = 200) -> float:
     """The likeliest shape: a grid in logarithms, then golden section around its best point (AD17)."""
     use = expected > 0
@@ -328,8 +359,8 @@ def fit_shape(observed: np.ndarray, expected: np.ndarray, bounds: tuple[float, f
     if not len(o):
         raise ValueError("no judge has a positive expected count")
     logs = np.linspace(math.log(bounds[0]), math.log(bounds[1]), grid)
-    counts, place = np.unique(o, return_inverse=True)
-    at = lambda x: _log_likelihood(min(max(math.exp(x), bounds[0]), bounds[1]), counts, place, o, e)
+    likelihood = _likelihood_of_shapes(o, e)
+    at = lambda x: likelihood(min(max(math.exp(x), bounds[0]), bounds[1]))
     values = [at(x) for x in logs]
     best = int(np.argmax(values))
     low, high = logs[max(best - 1, 0)], logs[min(best + 1, grid - 1)]
@@ -368,16 +399,18 @@ def _draws(seed: int, stream: str, people: int, count: int) -> Iterator[np.ndarr
     """Draws per place of the sorted clusters in each replicate: those of ``replicate_weights``.
 
     NumPy continues the same Mersenne state, so tasks make the weights themselves; a task
-    holds 12 bytes a person.
+    holds 16 bytes a person.
     """
     state = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{stream}".encode()).digest(), "big")).getstate()[1]
-    source = np.random.RandomState()
-    source.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
-    places = np.empty(people, dtype=np.int32)
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], dtype=np.uint32), "pos": state[-1]}}
+    draw, places, some = np.random.Generator(source).random, np.empty(people, dtype=np.intp), np.empty(1 << 13)
     for _ in range(count):
-        for i in range(0, people, 1 << 16):
-            part = places[i : i + (1 << 16)]
-            part[:] = source.random_sample(len(part)) * people
+        for i in range(0, people, len(some)):
+            part = places[i : i + len(some)]
+            drawn = draw(out=some[: len(part)])
+            drawn *= people
+            part[:] = drawn
         yield np.bincount(places, minlength=people)
 
 
@@ -596,33 +629,71 @@ def bootstrap_intervals(scores: DataFrame, seed: int, stream: str, count: int, l
     return _intervals(cut_lineage(_judge_sums(rows, (seed, stream, people, count))), rows, level, count)
 
 
-def _newton(rows: DataFrame, draws: tuple[int, str, int, int], betas: dict[int, np.ndarray], lam: float) -> dict[int, tuple[float, float, np.ndarray | None]]:
-    """Objective, gradient norm and Newton step (None where singular) of each replicate at its coefficients.
+def _folded(rows: DataFrame, draws: tuple[int, str, int, int], width: int) -> DataFrame:
+    """Rows (design, replicate, n, y): of each task, its distinct design rows, then their weights in each replicate.
 
-    Tasks fold their rows to distinct design rows, these to their halves, and add up
-    1 + k + k^2 sums a replicate; these are added and solved on the executors.
+    Weights do not change with the coefficients: they are drawn and folded once and stored,
+    compressed, in as few bytes as hold them, and every pass reads them.
     """
-    k = len(next(iter(betas.values())))
-    free = np.ones(k)
-    free[0] = 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _held(batches)
         if part is None:
             return
-        place, y = part["place"].to_numpy(), part["outcome"].to_numpy().astype(float)
-        x, at = _active(part, k)
-        m, halves = len(x), _Halves(x, k)
+        x, at = _active(part, width)
+        order = np.argsort(at, kind="stable")
+        place, at = part["place"].to_numpy()[order], at[order]
+        positive = part["outcome"].to_numpy()[order] == 1
+        starts, m = np.searchsorted(at, np.arange(len(x))), len(x)
+        of = lambda *v: pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(v, (pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names=["design", "replicate", "n", "y"])
+        yield of(_packed(x.ravel()), None, None, None)
         for r, drawn in enumerate(_draws(*draws)):
-            if r not in betas:
-                continue
-            w = drawn[place].astype(float)
-            n, s = np.bincount(at, w, m), np.bincount(at, w * y, m)
-            eta = halves.eta(betas[r])
-            p = expit(eta)
-            soft = np.maximum(eta, 0.0) + np.log1p(np.exp(-np.abs(eta)))
-            total = np.concatenate([[(s * eta - n * soft).sum()], halves.by_column(s - n * p), halves.by_pair(n * p * (1 - p)).ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["replicate", "sums"])
+            w = drawn[place]
+            yield of(None, r, _packed(np.add.reduceat(w, starts)), _packed(np.bincount(at[positive], w[positive], m).astype(np.int64)))
+
+    from .graph import cut_lineage
+
+    return cut_lineage(rows.mapInArrow(run, "design binary, replicate int, n binary, y binary"))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as hold them: a byte for that size, one long of the bytes' number, then these compressed."""
+    small = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return bytes([small.itemsize]) + small.nbytes.to_bytes(8, "little") + pa.compress(small.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """The numbers of ``_packed``."""
+    return np.frombuffer(pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), codec="zstd"), dtype=f"u{data[0]}")
+
+
+def _newton(folded: DataFrame, betas: dict[int, np.ndarray], lam: float) -> dict[int, tuple[float, float, np.ndarray | None]]:
+    """Objective, gradient norm and Newton step (None where singular) of each replicate at its coefficients.
+
+    Of rows ``_folded``: tasks fold their design rows to halves and add up 1 + k + k^2 sums a
+    replicate; these are added and solved on the executors.
+    """
+    k = len(next(iter(betas.values())))
+    free = np.ones(k)
+    free[0] = 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = None
+        for b in batches:
+            for design, r, n, s in zip(*(b.column(c) for c in ("design", "replicate", "n", "y"))):
+                if design.is_valid:
+                    halves = _Halves(_unpacked(design.as_py()).astype(np.int64).reshape(-1, len(FEATURES) + 1), k)
+                    continue
+                r = r.as_py()
+                if r not in betas:
+                    continue
+                n, s = (_unpacked(v.as_py()).astype(float) for v in (n, s))
+                eta = halves.eta(betas[r])
+                small = np.exp(-np.abs(eta))
+                p = np.where(eta >= 0, 1.0, small) / (1.0 + small)
+                soft = np.maximum(eta, 0.0) + np.log1p(small)
+                total = np.concatenate([[(s * eta - n * soft).sum()], halves.by_column(s - n * p), halves.by_pair(n * p * (1 - p)).ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["replicate", "sums"])
 
     def solve(key: tuple, group: pa.Table) -> pa.Table:
         r = key[0].as_py()
@@ -636,14 +707,15 @@ def _newton(rows: DataFrame, draws: tuple[int, str, int, int], betas: dict[int,
             move = None
         return pa.table({"replicate": pa.array([r], pa.int32()), "value": pa.array([v[0] - 0.5 * float(penalty @ betas[r])]), "norm": pa.array([float(np.abs(gradient).max())]), "move": pa.array([move], pa.binary())})
 
-    found = rows.mapInArrow(run, "replicate int, sums binary").groupBy("replicate").applyInArrow(solve, "replicate int, value double, norm double, move binary")
+    found = folded.mapInArrow(run, "replicate int, sums binary").groupBy("replicate").applyInArrow(solve, "replicate int, value double, norm double, move binary")
     return {r.replicate: (r.value, r.norm, None if r.move is None else np.frombuffer(bytes(r.move))) for r in found.collect()}
 
 
 def _refits(rows: DataFrame, draws: tuple[int, str, int, int], start: np.ndarray, lam: float, most: int = 50, tolerance: float = 1e-8, halvings: int = 30) -> dict[int, np.ndarray]:
     """Coefficients of the replicates that converge: the steps of ``fit_logistic``, all replicates a pass."""
     beta = {r: np.array(start, dtype=float) for r in range(draws[3])}
-    state = _newton(rows, draws, beta, lam)
+    rows = _folded(rows, draws, len(start))
+    state = _newton(rows, beta, lam)
     size, steps, done = dict.fromkeys(beta, 1.0), dict.fromkeys(beta, 0), {}
     going = set(state)
     while True:
@@ -655,7 +727,7 @@ def _refits(rows: DataFrame, draws: tuple[int, str, int, int], start: np.ndarray
         if not going:
             return done
         tried = {r: beta[r] + size[r] * state[r][2] for r in going}
-        for r, after in _newton(rows, draws, tried, lam).items():
+        for r, after in _newton(rows, tried, lam).items():
             if np.isfinite(after[0]) and after[0] >= state[r][0] - 1e-12 * max(1.0, abs(state[r][0])):
                 beta[r], state[r], size[r], steps[r] = tried[r], after, 1.0, steps[r] + 1
             else:
