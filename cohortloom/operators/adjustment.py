@@ -81,13 +81,23 @@ def index_charges(frame: Frame, events: DataFrame) -> DataFrame:
     return events.select(*KEY, "case_id", "person_id", "decision_at").join(own, ["source_id", "case_id", "person_id"]).where("filed_at < decision_at")
 
 
-def lead_features(frame: Frame, events: DataFrame) -> DataFrame:
-    """lead_severity, lead_category and charge_count of each event (AD4, LD4)."""
+def lead_features(frame: Frame, events: DataFrame, single: bool = False) -> DataFrame:
+    """lead_severity, lead_category and charge_count of each event (AD4, LD4).
+
+    With ``single`` members (``single_members``) are folded where they met their charges, without another shuffle.
+    """
+    keys = [*KEY, "case_id", "person_id"] if single else KEY
     order = F.struct(cohorts.rank_in("severity", SEVERITIES), F.col("source_row_id").isNull(), "source_row_id", "charge_id")
-    found = index_charges(frame, events).groupBy(*KEY).agg(F.min_by(F.struct("severity", "offense_category"), order).alias("lead"), F.count_distinct("charge_id").alias("n"))
+    found = index_charges(frame, events).groupBy(*keys).agg(F.min_by(F.struct("severity", "offense_category"), order).alias("lead"), F.count_distinct("charge_id").alias("n"))
     return found.select(*KEY, F.col("lead.severity").alias("lead_severity"), F.col("lead.offense_category").alias("lead_category"), band(F.col("n"), 3).alias("charge_count"))
 
 
+def single_members(events: DataFrame) -> bool:
+    """True if no member has events of several cases or persons."""
+    own = F.struct("case_id", "person_id")
+    return events.groupBy(*KEY).agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a < b").isEmpty()
+
+
 def with_cases(frame: Frame, events: DataFrame) -> DataFrame:
     """Events with case_filed and court_id of their index case, stored: every feature starts from them."""
     from .graph import cut_lineage
@@ -96,7 +106,7 @@ def with_cases(frame: Frame, events: DataFrame) -> DataFrame:
     return cut_lineage(events.join(cases, ["source_id", "case_id"]))
 
 
-def history_features(frame: Frame, events: DataFrame) -> DataFrame:
+def history_features(frame: Frame, events: DataFrame, single: bool | None = None) -> DataFrame:
     """Rows (source_id, member_id, cases, convictions, pending) as of the index case's filing (AD5, AD7), of events ``with_cases``.
 
     Charges of a case filed at one instant are one row before they meet events: whether
@@ -111,8 +121,8 @@ def history_features(frame: Frame, events: DataFrame) -> DataFrame:
     both = events.select(*KEY, "case_id", "person_id", "case_filed").join(linked, ["source_id", "person_id"]).where((F.col("other") != F.col("case_id")) & (F.col("other_filed") < F.col("case_filed")))
     known = F.col("filed_at") < F.col("case_filed")
     # A member of one person alone is counted where the person's rows are, without another shuffle.
-    several = events.groupBy(*KEY).agg(F.min("person_id").alias("a"), F.max("person_id").alias("b")).where("a < b")
-    keys = [*KEY, "person_id"] if several.isEmpty() else KEY
+    single = single_members(events) if single is None else single
+    keys = [*KEY, "person_id"] if single else KEY
     per_case = both.groupBy(*keys, "other").agg(
         F.bool_or(known & (F.col("convicted_at") < F.col("case_filed"))).alias("convicted"),
         F.bool_or(known & (F.col("last_final") >= F.col("case_filed"))).alias("open_then"),
@@ -144,9 +154,9 @@ def feature_levels(frame: Frame, events: DataFrame) -> DataFrame:
     Bands of history are null where the filing is; an event without a case has no court and goes.
     """
     events = with_cases(frame, events)
-    out = place_features(frame, events)
-    for part in (lead_features, history_features, failure_features):
-        out = out.join(part(frame, events), KEY, "left")
+    out, single = place_features(frame, events), single_members(events)
+    for part in (lead_features(frame, events, single), history_features(frame, events, single), failure_features(frame, events)):
+        out = out.join(part, KEY, "left")
     count = lambda n, top: F.when(F.col("case_filed").isNotNull(), band(F.coalesce(F.col(n), F.lit(0)), top))
     out = out.withColumns(
         {

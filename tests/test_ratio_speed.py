@@ -58,3 +58,41 @@ def test_charges_of_some_cases_are_those_of_all(spark, tmp_path, monkeypatch):
     assert 0 < got.count() < frame.charges.count()
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert frame.with_tables(charges=want).charges_of(cases) is want
+
+
+def test_members_of_one_case_are_folded_where_they_meet_charges(spark):
+    frame = adapter.orders_frame(spark, SF, stored=False)
+    own = ad.decision_events(frame).cache()
+    assert ad.single_members(own)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = lambda single: ad.lead_features(adapter.orders_frame(spark, SF, stored=False), own, single)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert shuffles(True) == shuffles(False) - 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    once, plain = ad.lead_features(frame, own, True), ad.lead_features(frame, own)
+    assert plain.count() and once.exceptAll(plain).isEmpty() and plain.exceptAll(once).isEmpty()
+    # One member in two cases is one row, of both cases' charges.
+    twice = own.union(own.selectExpr("source_id", "'d0' AS member_id", *[c for c in own.columns if c not in ad.KEY]).select(*own.columns).limit(3))
+    assert not ad.single_members(twice)
+    levels = ad.lead_features(frame, twice, ad.single_members(twice))
+    assert levels.count() == levels.select(*ad.KEY).distinct().count()
+
+
+def test_starts_leave_all_terms_in_turn(spark):
+    terms = {"a": [(0, 5), (5, 9), (20, 30)], "b": [(0, 10), (2, 12), (12, 13)], "c": [(4, 6)], "d": []}
+    rows = [(p, t, e, e - t) for p, own in terms.items() for t, e in own]
+    days = "SELECT 's' AS source_id, '{}' AS person_id, TIMESTAMP '2000-01-01' + INTERVAL {} DAY AS {}"
+    held = spark.sql(" UNION ALL ".join(days.format(p, t, "term_start") + f", TIMESTAMP '2000-01-01' + INTERVAL {e} DAY AS term_end, {n}L AS term_days" for p, t, e, n in rows))
+    starts = [(p, s) for p in terms for s in (0, 3, 5, 9, 12)]
+    cohort = spark.sql(" UNION ALL ".join(days.format(p, s, "start") + f", 1L AS applied, {s} AS s" for p, s in starts))
+    from cohortloom.operators import cohorts
+
+    got = {(r.person_id, r.s): (r.d, r.deferral_days) for r in cohorts.defer(cohort, held).selectExpr("person_id", "s", "datediff(exposure_start, DATE '2000-01-01') AS d", "deferral_days").collect()}
+    for p, s in starts:
+        at, applied = s, 1
+        while own := [(e, e - t) for t, e in terms[p] if t <= at < e]:
+            at, applied = max(own)[0], applied + max(own)[1]
+        assert got[p, s] == (at, applied)
